@@ -8,15 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.common import read
 from factloom.llm.jaccard_join import jaccard_components
+from factloom.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), vocabulary(), 2048)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_packing": op3_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
