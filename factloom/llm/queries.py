@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import read
 from factloom.llm.jaccard_join import jaccard_components
+from factloom.llm.langid import language_id
 from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.media import text_media
+from factloom.llm.mixing import mix
 from factloom.llm.packing import pack
+from factloom.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +26,34 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read(spark, sf_dir, "documents"), temperature=0.5, epochs=1.0, seed="mix")
+    return mixed.select("doc_id", "replica", "shuffle_key", "source", "lang", "n_chars", "text")
+
+
+OP1_SQL = """
+WITH sizes AS (
+  SELECT source, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS size FROM documents GROUP BY source
+), totals AS (
+  SELECT sum(size) AS size, sum(pow(CAST(size AS DOUBLE), 0.5)) AS weight FROM sizes
+), rates AS (
+  SELECT s.source, CASE WHEN s.size > 0 THEN round(pow(CAST(s.size AS DOUBLE), 0.5) / t.weight * t.size / s.size, 9) ELSE 0 END AS rate
+  FROM sizes s, totals t
+), terms AS (
+  SELECT source, k, CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1)) ELSE CAST(k = 0 AS DOUBLE) END AS p
+  FROM rates, range(0, 200) r(k)
+), cdf AS (
+  SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms
+), draws AS (
+  SELECT *, CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents
+), copies AS (
+  SELECT d.doc_id, count(*) AS n FROM draws d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND cdf.c <= d.u GROUP BY d.doc_id
+)
+SELECT d.doc_id, r.k AS replica, md5('mix:order:' || d.doc_id || ':' || r.k) AS shuffle_key, d.source, d.lang, d.n_chars, d.text
+FROM documents d JOIN copies USING (doc_id), range(0, 200) r(k) WHERE r.k < copies.n
+"""
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(read(spark, sf_dir, "documents"))
 
@@ -61,13 +92,25 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_media_columns": op2_media_columns,
     "op3_packing": op3_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity_chain": op8_toxicity_chain,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_source_mixing": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
 }
