@@ -14,6 +14,7 @@ from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.media import text_media
 from factloom.llm.mixing import mix
 from factloom.llm.packing import pack
+from factloom.llm.quality import quality_rules
 from factloom.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +63,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary(), 2048)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_media_columns": op2_media_columns,
     "op3_packing": op3_packing,
+    "op4_quality_rules": op4_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity_chain": op8_toxicity_chain,
