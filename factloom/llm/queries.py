@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import read
 from factloom.llm.jaccard_join import jaccard_components
 from factloom.llm.langid import language_id
+from factloom.llm.license_scan import license_scan
 from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.media import text_media
 from factloom.llm.mixing import mix
@@ -101,6 +102,10 @@ def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity_chain": op8_toxicity_chain,
+    "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
 }
 
