@@ -34,7 +34,7 @@ HOT = 32
 #: Sets that meet in one tile before the tile is cut into blocks.
 TILE = 4096
 #: Bytes of text of one slice.
-SLICE = 8 << 20
+SLICE = 4 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 
 

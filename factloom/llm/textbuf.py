@@ -19,7 +19,7 @@ U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 #: Rows whose text bytes exceed this are handed on in slices, so memory follows the slice, not the batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -100,19 +100,44 @@ def _symbols(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=U64) | U64(1)
 
 
+#: Bytes whose powers stand in a table; larger exponents are products of two entries.
+_STEP = 1 << 16
+
+
 @functools.lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.empty(n, U64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base ** 0 .. base ** (n - 1)`` modulo 2**64."""
+    out = np.full(n, base, U64)
     out[0] = 1
-    if n > 1:
-        np.multiply.accumulate(np.full(n - 1, base, U64), out=out[1:])
-    return out
+    return np.multiply.accumulate(out)
 
 
-def powers(n: int, base: int = _P) -> np.ndarray:
-    """``base ** 0 .. base ** (n - 1)`` modulo 2**64; table sizes are rounded up so that they repeat."""
-    size = 1 << max(16, (max(n, 1) - 1).bit_length())
-    return _powers(size, base)[:n]
+def _running(data: np.ndarray, seed: int) -> np.ndarray:
+    """Sums of the first 0, 1, .. bytes' symbols, each times the power of its place."""
+    symbols, low, up = _symbols(seed), _powers(_P, _STEP), U64(1)
+    total = np.empty(len(data) + 1, U64)
+    total[0] = 0
+    stride = U64(pow(_P, _STEP, 1 << 64))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), _STEP):
+            part = symbols[data[at : at + _STEP]]
+            part *= low[: len(part)]
+            part *= up
+            part[0] += total[at]
+            np.cumsum(part, out=total[at + 1 : at + 1 + len(part)])
+            up = up * stride
+    return total
+
+
+def _shift(starts: np.ndarray) -> np.ndarray:
+    """The inverse power of each place."""
+    high = _powers(pow(_P_INV, _STEP, 1 << 64), 1 << 12)
+    out = _powers(_P_INV, _STEP)[starts & (_STEP - 1)]
+    blocks = starts >> 16
+    while blocks.any():
+        out *= high[np.minimum(blocks, len(high) - 1)]
+        blocks = blocks - np.minimum(blocks, len(high) - 1)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -128,11 +153,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     """A 64-bit hash of each span's bytes; equal spans have equal hashes wherever they stand."""
     if len(starts) == 0:
         return np.zeros(0, U64)
-    n = len(data)
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum(_symbols(seed)[data] * powers(n), out=total[1:])
-    body = (total[ends] - total[starts]) * powers(n + 1, _P_INV)[starts]
+    total = _running(data, seed)
+    body = (total[ends] - total[starts]) * _shift(starts)
     return mix(body + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
 
 
