@@ -17,6 +17,7 @@ from factloom.llm.mixing import mix
 from factloom.llm.packing import pack
 from factloom.llm.quality import quality_rules
 from factloom.llm.toxicity import toxicity
+from factloom.llm.warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +69,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read(spark, sf_dir, "pages"))
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+         max(page_id) OVER (PARTITION BY payload) AS owner
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND owner <> page_id THEN owner END AS refers_to
+FROM d
+"""
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -115,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op2_media_columns": op2_media_columns,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity_chain": op8_toxicity_chain,
@@ -124,5 +145,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": OP1_SQL,
+    "op5_warc": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
 }
