@@ -1,0 +1 @@
+"""A PySpark engine for source facts, findings and policies over DataFrames."""
