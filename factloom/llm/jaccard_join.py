@@ -10,6 +10,8 @@ Plan (no cross join, no text shuffle):
 3. The rest keep a prefix of their rarest shingles; sets that share a prefix shingle and whose sizes are
    compatible meet in a tile.  In a tile, the bits in which two parity signatures differ bound the
    symmetric difference from below, hence the overlap from above; survivors are intersected exactly.
+   Postings name the next two prefix shingles of their set: a pair that shares one of them meets there
+   again, so it is passed on from its last, most frequented tile only.
    Tiles of more than ``TILE`` sets are cut into blocks, one task for each pair of blocks.
 4. Linked classes of equal sets are contracted to components.
 
@@ -255,7 +257,7 @@ def _signature(tokens: np.ndarray, bits: int) -> bytes:
 
 def _bits(n: int) -> int:
     """Bits of the signature of a set of n shingles; it grows with n, so it never saturates."""
-    return 1 << min(max(6, (n - 1).bit_length()), 14)
+    return 1 << min(max(6, (n - 1).bit_length() - 1), 13)
 
 
 def _post(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -267,10 +269,12 @@ def _post(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts = prefixes[start : start + 256]
         row = np.repeat(np.arange(len(some)), counts)
         marks = binary([_signature(sets[k], _bits(int(sizes[k]))) for k in some])
-        yield pa.RecordBatch.from_arrays([longs(np.concatenate([sets[k][: prefixes[k]] for k in some])), pa.array(np.concatenate([np.arange(prefixes[k], dtype=np.int32) for k in some])), pa.array(keys[start : start + 256][row]), pa.array(sizes[start : start + 256][row]), marks.take(pa.array(row))], ["token", "at", "key", "n", "mark"])
+        tokens = np.concatenate([sets[k][: prefixes[k]] for k in some])
+        following = [np.append(tokens[d:], np.zeros(d, np.uint64)) * np.append(row[d:] == row[:-d], np.zeros(d, bool)) for d in (1, 2)] if len(row) > 1 else [tokens * np.uint64(0)] * 2
+        yield pa.RecordBatch.from_arrays([longs(tokens), longs(following[0]), longs(following[1]), pa.array(keys[start : start + 256][row]), pa.array(sizes[start : start + 256][row]), marks.take(pa.array(row))], ["token", "next1", "next2", "key", "n", "mark"])
 
 
-_POSTING = "token long, at int, key long, n long, mark binary"
+_POSTING = "token long, next1 long, next2 long, key long, n long, mark binary"
 _PAIR = "a long, b long, tile long"
 
 
@@ -283,10 +287,10 @@ def _folds(marks: list[bytes], bits: int) -> np.ndarray:
     return out
 
 
-def _tile(tile: int, keys: np.ndarray, sizes: np.ndarray, marks: list[bytes], side: np.ndarray | None, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _tile(keys: np.ndarray, sizes: np.ndarray, marks: list[bytes], ahead: np.ndarray, side: np.ndarray | None, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a tile that size and signature allow, compared in size order, a block of rows at a time."""
     order = np.argsort(sizes, kind="stable")
-    keys, sizes = keys[order], sizes[order]
+    keys, sizes, ahead = keys[order], sizes[order], ahead[order]
     side = None if side is None else side[order]
     bits = _bits(int(sizes[0]))
     words = _folds([marks[k] for k in order.tolist()], bits)
@@ -305,6 +309,9 @@ def _tile(tile: int, keys: np.ndarray, sizes: np.ndarray, marks: list[bytes], si
         if side is not None:
             good &= side[start:end, None] != side[None, start:stop]
         i, j = np.nonzero(good)
+        mine, other = ahead[start + i], ahead[start + j]
+        again = ((mine[:, :, None] == other[:, None, :]) & (mine != 0)[:, :, None]).any(axis=(1, 2))
+        i, j = i[~again], j[~again]
         left.append(keys[start + i])
         right.append(keys[start + j])
     return np.concatenate(left), np.concatenate(right)
@@ -337,11 +344,12 @@ def _pairs_of(table: pa.Table, threshold: int) -> pa.RecordBatch:
     edge = np.flatnonzero(np.concatenate(([True], tiles[1:] != tiles[:-1], [True])))
     many = np.flatnonzero(np.diff(edge) > 1)
     keys, sizes, sides = (table.column(c).to_numpy() for c in ("key", "n", "side"))
+    ahead = np.stack([table.column(c).to_numpy() for c in ("next1", "next2")], axis=1)
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
     for k in many.tolist():
         a, b = int(edge[k]), int(edge[k + 1])
         side = sides[a:b] if (sides[a:b] >= 0).all() else None
-        left, right = _tile(int(tiles[a]), keys[a:b], sizes[a:b], table.column("mark").slice(a, b - a).to_pylist(), side, threshold)
+        left, right = _tile(keys[a:b], sizes[a:b], table.column("mark").slice(a, b - a).to_pylist(), ahead[a:b], side, threshold)
         if len(left):
             out.append((left, right, int(tiles[a])))
     left = np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.int64)
@@ -402,7 +410,7 @@ def similar(docs: DataFrame, threshold: int = 70, width: int = 3, buckets: int |
     classes = members.filter("n > 0").groupBy("key").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"))
     sets = found.filter("is_class").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
     sets = materialize(sets, "classes")
-    postings = _blocks(arrow_map(sets, _post, _POSTING).drop("at"), tile)
+    postings = _blocks(arrow_map(sets, _post, _POSTING), tile)
     met = postings.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), _PAIR)
     pairs = materialize(met.groupBy("a", "b").agg(F.max("tile").alias("tile")), "pairs")
     groups = 4 * partitions(spark)
