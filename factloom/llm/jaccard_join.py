@@ -450,3 +450,19 @@ def jaccard_components(docs: DataFrame, threshold: int = 70, width: int = 3, **o
         F.coalesce(F.col("copies") - 1 + F.col("near"), F.lit(0)).alias("n_similar"),
         F.coalesce("component", "doc_id").alias("component_id"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, threshold: int = 70, width: int = 3) -> DataFrame:
+    """The rows of the smallest doc_id of each component, with all their columns.
+
+    A doc_id names a document: where several rows of one doc_id remain, one with the smallest text stays.
+    Rows with a null doc_id stay, as no group is named after them.  Empty texts are alone and stay.
+    """
+    found = jaccard_components(docs.select("doc_id", "text"), threshold, width)
+    kept = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if kept.filter("rows > 1").limit(1).count():
+        several = kept.filter("rows > 1").select("doc_id")
+        once = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
+        out = out.join(several, "doc_id", "left_anti").unionByName(once.select("row.*"))
+    return out.unionByName(docs.filter("doc_id is null"))
