@@ -176,7 +176,8 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     lines = materialize(arrow_map(docs.select(id_.alias("id"), "text"), _keys, "h1 long, h2 long, id long"), "lines")
-    cuts = sorted(set(lines.approxQuantile("id", [k / batches for k in range(1, batches)], 0.001)))
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(lines.approxQuantile("id", shares, 0.001) or [])) if shares else []
     runs, lost = Runs(spark, fanout), []
     for low, high in zip([None, *cuts], [*cuts, None]):
         mine = lines
