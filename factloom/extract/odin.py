@@ -106,6 +106,7 @@ class File:
                 x.pair = -1
             self._pair()
             self.declared: set[int] = set()
+            self.silent: set[int] = set()  # names that are no expressions
             self.level(0, len(self.t), None)
             self.walk()
             self.finish()
@@ -162,7 +163,7 @@ class File:
             t = self.t[i]
             if t.text == "package" and owner is None:
                 self.package = self.t[i + 1].text
-                self.declared.add(i + 1)
+                self.silent.add(i + 1)
                 i += 2
             elif t.text == "import":
                 i = self.import_(i)
@@ -201,6 +202,7 @@ class File:
         self.add("dependencies", self.t[i].start, language="odin", target=target, kind="import")
         if alias:
             self.symbol(alias, "import", None)
+            self.silent.add(alias)
         if not using and name != "_":
             self.add("imports", self.t[i].start, language="odin", target=target, name=name, kind="import")
         if target == "core:mem/heap" or target.endswith("mem/heap"):
@@ -395,7 +397,7 @@ class File:
     def walk(self) -> None:
         """References, calls, decisions and allocations."""
         for i, t in enumerate(self.t):
-            if t.kind == "name" and t.text != "_":
+            if t.kind == "name" and t.text != "_" and i not in self.silent:
                 p = self.containing(t.start)
                 self.add("references", t.start, language="odin", name=t.text, scope=p.name if p else None)
             if t.text in ("if", "for", "case", "when") and t.kind == "word":

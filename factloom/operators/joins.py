@@ -85,17 +85,19 @@ def resolve_julia(edges: DataFrame, modules: DataFrame, edge_id: str) -> DataFra
     """Resolve imports to module files.
 
     An absolute target is a module or lies below one; a relative one climbs from the innermost module, one
-    level for each dot after the first.  The deepest module wins; without one, absolute targets are external
-    and relative ones unresolved.  Candidate names are the target's prefixes, so the join is by equality.
+    level for each dot after the first, and must be a module itself.  The deepest module wins; without one,
+    absolute targets are external and relative ones unresolved.  Candidate names are the target's
+    prefixes, so the join is by equality.
     """
     inner = innermost_module(edges, modules, edge_id)
     dots = F.length(F.regexp_extract("target", r"^(\.*)", 1))
     rest = F.regexp_replace("target", r"^\.+", "")
-    scope = F.split(F.coalesce("module", F.lit("")), r"\.")
-    base = F.array_join(F.slice(scope, 1, F.greatest(F.size(scope) - dots + 1, F.lit(0))), ".")
-    full = F.when(dots == 0, rest).otherwise(F.concat_ws(".", F.when(base != "", base), F.when(rest != "", rest)))
-    parts = F.split(full, r"\.")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    scope = F.split("module", r"\.")
+    base = F.array_join(F.slice(scope, 1, F.size(scope) - dots + 1), ".")
+    parts = F.split(rest, r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    climbed = F.when(F.col("module").isNotNull() & (dots <= F.size(scope)), F.array(F.concat(base, F.lit("."), rest)))
+    prefixes = F.when(dots == 0, above).otherwise(climbed)
     candidates = inner.select(edge_id, F.explode(prefixes).alias("name"))
     best = candidates.join(modules.select("name", "depth", "path"), "name").groupBy(edge_id).agg(F.max_by("path", F.struct("depth", F.length("name"))).alias("found"))
     joined = inner.join(best, edge_id, "left")
@@ -171,9 +173,11 @@ def contract_calls(edges: DataFrame, contracts: DataFrame) -> DataFrame:
 
     Qualified declarations match whole, others by the call's last name: two equality joins.
     """
-    dotted = F.col("declaration").contains(".")
-    whole = edges.join(contracts.filter(dotted).withColumnRenamed("declaration", "callee"), ["language", "callee"]).select(*edges.columns, "id", "category")
-    named = edges.withColumn("declaration", S.terminal_name(F.col("callee"))).join(contracts.filter(~dotted), ["language", "declaration"]).select(*edges.columns, "id", "category")
+    side = contracts.select("language", F.col("declaration").alias("_wanted"), "id", "category")
+    dotted = F.col("_wanted").contains(".")
+    columns = [*edges.columns, "id", "category"]
+    whole = edges.withColumn("_wanted", F.col("callee")).join(side.filter(dotted), ["language", "_wanted"]).select(*columns)
+    named = edges.withColumn("_wanted", S.terminal_name(F.col("callee"))).join(side.filter(~dotted), ["language", "_wanted"]).select(*columns)
     return whole.unionByName(named)
 
 
