@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom import extensions as X
 from factloom.config.rules import REGISTRY, engine_of
 from factloom.config.settings import Settings, validate
+from factloom.deploy import ship
 from factloom.extract.facts import extract
 from factloom.functions import scalars as S
 from factloom.operators import aggregates as A
@@ -107,6 +108,7 @@ def _policy_table(spark: SparkSession, policies: list, files: DataFrame | None)
 
 def check(spark: SparkSession, root: str, settings: Settings | None = None, extensions: list[X.Extension] | None = None, files: DataFrame | None = None) -> Report:
     """Analyse a tree (or a given ``(path, language, text)`` table) and return its report."""
+    ship(spark)
     extensions = extensions or []
     owned = X.validated(extensions)
     s = settings or Settings()
