@@ -131,7 +131,10 @@ def certified(rejected: np.ndarray, trials: int, risk: float, error: float) -> i
 
 @dataclass
 class QualityModel:
-    """Weights of the score and the grid step from which each stratum rejects."""
+    """Weights of the score and the grid step from which each stratum rejects.
+
+    A stratum without a certified cutoff, or without holdouts, rejects by the base rules only.
+    """
 
     weights: np.ndarray
     cutoffs: dict[str | None, int]
@@ -169,16 +172,16 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 def fit_quality(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, sample: int = SAMPLE) -> QualityModel:
     """Fit the score and certify the cutoffs from a table of ``features`` and labels ``(doc_id, quality 0/1)``.
 
-    The score learns from the ``sample`` labelled documents with the smallest hashes; all other good ones
-    are counted by stratum and grid step (where the base rules keep them) for the bounds.
+    The score learns from a quarter of the labelled documents, ``sample`` at most, chosen by hash; all other
+    good ones are counted by stratum and grid step (where the base rules keep them) for the bounds.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     draw = F.xxhash64(F.lit("quality"), "doc_id")
-    edge = known.select(draw.alias("d")).orderBy("d").limit(sample).agg(F.max("d"), F.count("*")).first()
-    labelled = materialize(rows.join(known, "doc_id").withColumn("draw", F.xxhash64(F.lit("quality"), "doc_id")), "labelled")
-    # where all labels fit into the sample, half of them still have to be held out
-    fitted = (F.col("draw") <= F.lit(edge[0] if edge[0] is not None else 0)) & (F.lit(edge[1] >= sample) | (F.pmod("draw", F.lit(2)) == 0))
-    train = labelled.filter(fitted).orderBy("draw", *FEATURES).limit(sample).select("quality", *FEATURES).toPandas()
+    quarter = F.pmod("d", F.lit(4)) == 0
+    edge = known.select(draw.alias("d")).filter(quarter).orderBy("d").limit(sample).agg(F.max("d")).first()[0]
+    labelled = materialize(rows.join(known, "doc_id").withColumn("d", draw), "labelled")
+    fitted = quarter & (F.col("d") <= F.lit(edge if edge is not None else 0))
+    train = labelled.filter(fitted).orderBy("d", *FEATURES).limit(sample).select("quality", *FEATURES).toPandas()
     counts = train[list(FEATURES)].to_numpy(np.int64).reshape(-1, len(FEATURES))
     y = (train["quality"].to_numpy() == 0).astype(float)
     inside = ~base_failed(counts)
@@ -200,15 +203,10 @@ def fit_quality(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: f
     hist: dict[str | None, np.ndarray] = {}
     for r in table.groupBy(name.alias("stratum"), "step").agg(F.sum("n").alias("n")).collect():
         hist.setdefault(r["stratum"], np.zeros(GRID + 1, np.int64))[r["step"] + 1] += r["n"]
-    pooled = sum(hist.values()) if hist else np.zeros(GRID + 1, np.int64)
-    # the pooled rule serves strata that have too few holdouts to prove anything, so it is tested too
-    hist[OTHER] = pooled
-    share = error / len(hist)
+    share = error / max(1, len(hist))
     for stratum, n in hist.items():
         rejected = np.cumsum(n[1:][::-1])[::-1]
-        step = certified(rejected, int(n.sum()), risk, share)
-        if step < GRID:
-            scorer.cutoffs[stratum] = step
+        scorer.cutoffs[stratum] = certified(rejected, int(n.sum()), risk, share)
     return scorer
 
 
