@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
+_FENCE = re.compile(r"^ {0,3}(?P<mark>```+|~~~+)(?P<info>.*)$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 _LINK = re.compile(r"(!?)\[((?:[^\[\]]|\[[^\]]*\])*)\]\(\s*<?([^)\s>]*)>?(?:\s+[\"'(][^)]*)?\)")
 _DEFINITION = re.compile(r"^ {0,3}\[([^\]]+)\]:\s*<?(\S+?)>?(?:\s|$)")
 _REFERENCE = re.compile(r"(!?)\[((?:[^\[\]]|\[[^\]]*\])+)\]\[([^\]]*)\]")
-_SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+_SCHEME = re.compile(r"[a-z][a-z\d+.-]*:", re.IGNORECASE)
 
 
 def is_relative(destination: str) -> bool:

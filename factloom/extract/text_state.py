@@ -6,9 +6,15 @@ import re
 
 #: Line comment, block comment opening and closing.
 MARKS = {"julia": ("#", "#=", "=#"), "odin": ("//", "/*", "*/")}
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
-_LINK = re.compile(r"\[[^\]]*\]\([^)]*\)|\[[^\]]*\]\[[^\]]*\]|^\s*\[[^\]]+\]:\s*\S+|<https?://[^>]+>|https?://\S+")
-_DELIMITER = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
+_FENCE = re.compile(r"^ {0,3}(?P<mark>```+|~~~+)(?P<info>.*)$")
+_LINK = re.compile(r"\[[^\]]*\]\([^)]*\)|\[[^\]]*\]\[[^\]]*\]|\A[ \t]*\[[^\[\]]+\]:[ \t]*\S|<https?://[^>]+>|https?://\S+")
+_RULE = re.compile(r":?-+:?")
+
+
+def table_rule(line: str) -> bool:
+    """Whether a line is the rule under a table's header: dashes in every cell."""
+    cells = [c.strip() for c in line.strip().strip("|").split("|")]
+    return all(map(_RULE.fullmatch, cells))
 
 
 def comment_line(line: str, depth: int, marks: tuple[str, str, str]) -> tuple[bool, int]:
@@ -65,7 +71,7 @@ def markdown_exempt(lines: list[str]) -> list[bool]:
             exempt[k] = True
     row = lambda k: 0 <= k < len(lines) and outside[k] and "|" in lines[k] and bool(lines[k].strip())
     for k, line in enumerate(lines):
-        if outside[k] and "-" in line and "|" in line and _DELIMITER.match(line) and row(k - 1):
+        if outside[k] and "-" in line and "|" in line and table_rule(line) and row(k - 1):
             exempt[k - 1] = exempt[k] = True
             below = k + 1
             while row(below):

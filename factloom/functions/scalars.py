@@ -39,15 +39,18 @@ ABI_TYPES = {
     "Cstring": "cstring",
 }
 
-EVIDENCE = {
-    "corroborated": "Static test reachability and runtime line coverage agree.",
-    "static-only": "Static test reachability was not corroborated at runtime.",
-    "runtime-only": "Runtime coverage exists outside the resolved test-call closure.",
-    "uncovered": "Neither static test reachability nor runtime execution was observed.",
-    "runtime-unavailable": "No LCOV line intersects this declaration.",
-    "static-unavailable": "No static test root exists for this language.",
-    "unavailable": "Neither static test roots nor runtime lines are available.",
-}
+EVIDENCE = dict(
+    line.strip().split(" = ", 1)
+    for line in """
+    corroborated = Static test reachability and runtime line coverage agree.
+    uncovered = Neither static test reachability nor runtime execution was observed.
+    unavailable = Neither static test roots nor runtime lines are available.
+    static-only = Static test reachability was not corroborated at runtime.
+    static-unavailable = No static test root exists for this language.
+    runtime-only = Runtime coverage exists outside the resolved test-call closure.
+    runtime-unavailable = No LCOV line intersects this declaration.
+    """.strip().splitlines()
+)
 
 
 def lookup(column: Column, table: dict[str, str]) -> Column:

@@ -189,7 +189,7 @@ SELECT user_id, event_id, previous, level FROM (SELECT *, lag(level) OVER (PARTI
     "heading_count": "SELECT page_id, len(regexp_extract_all(html, '<h1')) AS headings, len(regexp_extract_all(html, '<h1')) <> 1 AS finding FROM pages",
     "relative_links": """
 WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS d FROM pages)
-SELECT CASE WHEN starts_with(d, '#') THEN 'anchor' WHEN starts_with(d, '//') THEN 'network' WHEN starts_with(d, '/') THEN 'absolute' WHEN regexp_matches(d, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'scheme' ELSE 'relative' END AS kind, count(*) AS links, count(DISTINCT page_id) AS pages FROM l GROUP BY 1
+SELECT CASE WHEN starts_with(d, '#') THEN 'anchor' WHEN starts_with(d, '//') THEN 'network' WHEN starts_with(d, '/') THEN 'absolute' WHEN regexp_matches(lower(d), '^[a-z][a-z0-9+.-]*:') THEN 'scheme' ELSE 'relative' END AS kind, count(*) AS links, count(DISTINCT page_id) AS pages FROM l GROUP BY 1
 """,
     "declaration_order": """
 WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag FROM lineitem)

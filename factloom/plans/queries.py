@@ -223,7 +223,7 @@ def heading_count(spark, sf_dir):
 def relative_links(spark, sf_dir):
     links = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("destination"))
     target = F.col("destination")
-    kind = F.when(target.startswith("#"), "anchor").when(target.startswith("//"), "network").when(target.startswith("/"), "absolute").when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "scheme").otherwise("relative")
+    kind = F.when(target.startswith("#"), "anchor").when(target.startswith("//"), "network").when(target.startswith("/"), "absolute").when(F.lower(target).rlike(r"^[a-z][a-z\d+.-]*:"), "scheme").otherwise("relative")
     return links.groupBy(kind.alias("kind")).agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
 
 

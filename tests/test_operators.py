@@ -24,24 +24,30 @@ def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-FUNCTIONS = [
-    ("fixture.jl", "julia", "report", 1, 3, 3, 0, 2, 0, True),
-    ("fixture.jl", "julia", "warn", 4, 8, 5, 0, 4, 0, True),
-    ("fixture.jl", "julia", "fail", 9, 15, 7, 0, 6, 0, True),
-    ("fixture.odin", "odin", "warn", 1, 6, 6, 0, 5, None, True),
-    ("boundary.odin", "odin", "boundary", 1, 3, 3, 0, 2, None, True),
-]
+def cells(text):
+    """Rows of a table in text: dots are nulls, digits are numbers, brackets are lists."""
+    read_ = lambda c: None if c == "." else int(c) if c.lstrip("-").isdigit() else c[1:-1].split("+") if c.startswith("[") and len(c) > 2 else [] if c == "[]" else c in ("yes",) if c in ("yes", "no") else c
+    return [tuple(map(read_, line.split())) for line in text.strip().splitlines()]
+
+
+FUNCTIONS = cells("""
+f.jl julia small 1 3 3 0 2 0 yes
+f.jl julia middle 4 8 5 0 4 0 yes
+f.jl julia large 9 15 7 0 6 0 yes
+f.odin odin middle 1 6 6 0 5 . yes
+edge.odin odin edge 1 3 3 0 2 . yes
+""")
 FUNCTION = "path string, language string, name string, start_line long, end_line long, executable_lines long, parameter_count long, cyclomatic long, cognitive long, documented boolean"
 TIERS = {("julia", "lines"): (2, 4, 6), ("odin", "lines"): (3, 5, 7), ("julia", "cyclomatic"): (1, 3, 5), ("odin", "cyclomatic"): (2, 4, 6)}
 
 
 def test_metric_tiers(spark):
     found = D.metric_findings(spark.createDataFrame(FUNCTIONS, FUNCTION), TIERS).collect()
-    assert sorted((r.path, r.subject, r.rule_id.rpartition("-")[2], r.allowed) for r in found) == sorted([("fixture.jl", "report", "REPORT", 2), ("fixture.jl", "report", "REPORT", 1), ("fixture.jl", "warn", "WARN", 4), ("fixture.jl", "warn", "WARN", 3), ("fixture.jl", "fail", "FAIL", 6), ("fixture.jl", "fail", "FAIL", 5), ("fixture.odin", "warn", "WARN", 5), ("fixture.odin", "warn", "WARN", 4)])
+    assert sorted((r.path, r.subject, r.rule_id.rpartition("-")[2], r.allowed) for r in found) == sorted(cells("f.jl small REPORT 2\nf.jl small REPORT 1\nf.jl middle WARN 4\nf.jl middle WARN 3\nf.jl large FAIL 6\nf.jl large FAIL 5\nf.odin middle WARN 5\nf.odin middle WARN 4"))
 
 
 def test_repository_statistics(spark):
-    files = spark.createDataFrame([("one.jl", "julia", 10, 8, 6, 2, 2, 2), ("two.odin", "odin", 20, 17, 15, 2, 3, 3), ("notes.md", "markdown", 100, 90, 90, 0, 10, 0)], "path string, language string, physical_lines long, source_lines long, code_lines long, comment_lines long, blank_lines long, struct_count long")
+    files = spark.createDataFrame(cells("a.jl julia 10 8 6 2 2 2\nb.odin odin 20 17 15 2 3 3\nc.md markdown 100 90 90 0 10 0"), "path string, language string, physical_lines long, source_lines long, code_lines long, comment_lines long, blank_lines long, struct_count long")
     functions = spark.createDataFrame([("julia", 4), ("odin", 3)], "language string, cyclomatic long")
     total = A.code_statistics(files, functions).filter("language = 'total'").first()
     assert (total.files, total.functions, total.struct_count, total.physical_lines, total.blank_lines, total.comment_lines, total.code_lines, total.complexity) == (2, 2, 5, 30, 5, 4, 21, 7)
@@ -58,7 +64,7 @@ DECLARATION = "path string, language string, name string, qualified_name string,
 def test_reachability(spark):
     names = ["main", "helper", "unused"]
     declarations = spark.createDataFrame([("app.jl", "julia", n, f"App.{n}", "function", "App", k, 1) for k, n in enumerate(names)], DECLARATION)
-    edges = spark.createDataFrame([("julia", "App.main", "helper", "direct"), ("julia", "App.helper", "factory()", "dynamic")], "language string, caller string, callee string, kind string")
+    edges = spark.createDataFrame(cells("julia App.main helper direct\njulia App.helper factory() dynamic"), "language string, caller string, callee string, kind string")
     roots = spark.createDataFrame([("julia", "main")], "language string, declaration string")
     assert rows(G.unreachable(declarations, edges, roots), "qualified_name") == [("App.unused",)]
     assert G.unreachable(declarations, edges, roots.limit(0)).count() == 0
@@ -140,28 +146,29 @@ def test_clones(spark):
 
 def test_interop(spark):
     schema = "path string, language string, symbol string, direction string, library string, calling_convention string, parameter_types array<string>, return_types array<string>, ord long"
-    table = [
-        ("a.jl", "julia", "mismatch", "import", None, "c", ["i32"], ["i32"], 1),
-        ("b.odin", "odin", "mismatch", "export", None, "c", ["i64"], ["i32"], 2),
-        ("a.jl", "julia", "julia_only", "import", None, "c", [], [], 3),
-        ("b.odin", "odin", "odin_only", "export", None, "c", [], [], 4),
-        ("a.jl", "julia", "puts", "import", "libc", "c", [], [], 5),
-        ("b.odin", "odin", "mismatch", "export", None, "c", ["i32"], ["i32"], 6),
-    ]
+    table = cells("""
+    a.jl julia differs import . c [i32] [i32] 1
+    b.odin odin differs export . c [i64] [i32] 2
+    a.jl julia left import . c [] [] 3
+    b.odin odin right export . c [] [] 4
+    a.jl julia puts import libc c [] [] 5
+    b.odin odin differs export . c [i32] [i32] 6
+    """)
     got = {(r.symbol, r.status): r.mismatch for r in J.pair_signatures(spark.createDataFrame(table, schema)).collect()}
-    assert got == {("mismatch", "signature-mismatch"): "parameter types i32 != i64", ("julia_only", "missing-odin"): None, ("odin_only", "missing-julia"): None, ("puts", "external"): None, ("mismatch", "missing-julia"): None}
+    assert got == {("differs", "signature-mismatch"): "parameter types i32 != i64", ("left", "missing-odin"): None, ("right", "missing-julia"): None, ("puts", "external"): None, ("differs", "missing-julia"): None}
 
 
 def test_layers(spark):
     schema = "source_path string, target string, target_path string, resolution string, language string, kind string, line long, column long"
-    table = [
-        ("app.jl", "JSON3", None, "external", "julia", "using", 1, 1),
-        ("app.jl", "..Local", "app.jl", "repository", "julia", "import", 2, 1),
-        ("app.jl", ".Missing", None, "unresolved", "julia", "import", 3, 1),
-        ("lib/math/math.odin", "../..", ".", "repository", "odin", "import", 1, 1),
-        ("main.odin", "core:fmt", None, "external", "odin", "import", 1, 1),
-        ("main.odin", "lib/math", "lib/math", "repository", "odin", "import", 2, 1),
-    ]
+    table = cells("""
+    app.jl JSON3 . external julia using 1 1
+    app.jl ..Local app.jl repository julia import 2 1
+    app.jl .Missing . unresolved julia import 3 1
+    lib/math/math.odin ../.. ROOT repository odin import 1 1
+    main.odin core:fmt . external odin import 1 1
+    main.odin lib/math lib/math repository odin import 2 1
+    """)
+    table = [tuple("." if c == "ROOT" else c for c in row) for row in table]
     edges = spark.createDataFrame(table, schema)
     owned = J.layer_edges(edges, [(".", "application"), ("lib", "library")])
     allowed = spark.createDataFrame([("application", "library")], "source_layer string, target_layer string")
@@ -181,7 +188,7 @@ def test_julia_resolution(spark):
 
 def test_odin_resolution(spark):
     files = spark.createDataFrame([("main.odin",), ("lib/math/math.odin",)], "path string")
-    edges = spark.createDataFrame([("main.odin", "lib/math"), ("lib/math/math.odin", "../.."), ("main.odin", "core:fmt"), ("main.odin", "lib/none"), ("main.odin", "../out")], "source_path string, target string")
+    edges = spark.createDataFrame(cells("main.odin lib/math\nlib/math/math.odin ../..\nmain.odin core:fmt\nmain.odin lib/none\nmain.odin ../out"), "source_path string, target string")
     got = {r.target: (r.target_path, r.resolution) for r in J.resolve_odin(edges, files).collect()}
     assert got == {"lib/math": ("lib/math", "repository"), "../..": (".", "repository"), "core:fmt": (None, "external"), "lib/none": (None, "unresolved"), "../out": (None, "unresolved")}
 
