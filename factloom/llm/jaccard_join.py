@@ -275,7 +275,7 @@ def _post(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 _POSTING = "token long, next1 long, next2 long, key long, n long, mark binary"
-_PAIR = "a long, b long, tile long"
+_PAIR = "a long, b long"
 
 
 def _folds(marks: list[bytes], bits: int) -> np.ndarray:
@@ -345,17 +345,16 @@ def _pairs_of(table: pa.Table, threshold: int) -> pa.RecordBatch:
     many = np.flatnonzero(np.diff(edge) > 1)
     keys, sizes, sides = (table.column(c).to_numpy() for c in ("key", "n", "side"))
     ahead = np.stack([table.column(c).to_numpy() for c in ("next1", "next2")], axis=1)
-    out: list[tuple[np.ndarray, np.ndarray, int]] = []
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for k in many.tolist():
         a, b = int(edge[k]), int(edge[k + 1])
         side = sides[a:b] if (sides[a:b] >= 0).all() else None
         left, right = _tile(keys[a:b], sizes[a:b], table.column("mark").slice(a, b - a).to_pylist(), ahead[a:b], side, threshold)
         if len(left):
-            out.append((left, right, int(tiles[a])))
+            out.append((left, right))
     left = np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.int64)
     right = np.concatenate([x[1] for x in out]) if out else np.zeros(0, np.int64)
-    tile = np.concatenate([np.full(len(x[0]), x[2]) for x in out]) if out else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(tile)], ["a", "b", "tile"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
 
 
 def _verify(threshold: int):
@@ -412,15 +411,32 @@ def similar(docs: DataFrame, threshold: int = 70, width: int = 3, buckets: int |
     sets = materialize(sets, "classes")
     postings = _blocks(arrow_map(sets, _post, _POSTING), tile)
     met = postings.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(threshold), _PAIR)
-    pairs = materialize(met.groupBy("a", "b").agg(F.max("tile").alias("tile")), "pairs")
-    groups = 4 * partitions(spark)
-    pairs = pairs.withColumn("g", F.pmod(F.xxhash64("tile"), F.lit(groups)))
+    pairs = materialize(met.distinct(), "pairs")
+    pairs = _grouped(pairs, 4 * partitions(spark), tile)
     wanted = pairs.select(F.col("g").alias("h"), F.explode(F.array("a", "b")).alias("key")).distinct()
     needed = wanted.join(sets.select("key", "n", "tokens"), "key")
     links = pairs.groupBy("g").cogroup(needed.groupBy("h")).applyInArrow(_verify(threshold), "a long, b long")
     return members, materialize(links, "links"), materialize(classes, "members")
 
 
+def _grouped(pairs: DataFrame, groups: int, tile: int) -> DataFrame:
+    """Give each pair the task ``g`` that verifies it, so that a set is sent to few tasks.
+
+    A set's mark is its least neighbour or itself; the members of a group of near copies share one, and a
+    pair goes where the lesser of its two marks goes.  Marks of more than ``tile`` sets are cut into
+    blocks of sets, with one task for each pair of blocks.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    marks = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("mark")), "marks")
+    side = lambda c: marks.select(F.col("node").alias(c), F.col("mark").alias(f"mark_{c}"))
+    marked = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("mark", F.least("mark_a", "mark_b"))
+    blocks = marks.groupBy("mark").agg(F.ceil(F.count("*") / (tile / 2)).cast("int").alias("blocks")).filter("blocks > 2")
+    cut = marked.join(blocks, "mark", "left")
+    block = lambda c: F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64(c), "blocks")).otherwise(F.lit(0))
+    place = F.xxhash64("mark", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
+    return materialize(cut.select("a", "b", F.pmod(place, F.lit(groups)).alias("g")), "tasks")
+
+
 def _count_any(key: tuple, group: pa.Table) -> pa.Table:
     """A bucket, or the untouched rows of a slice."""
     first = group.column("bucket")[0]
