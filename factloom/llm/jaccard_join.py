@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from factloom.llm import textbuf as tb
 from factloom.llm.common import arrow_map, attach, binary, longs, materialize, partitions
 from factloom.llm.components import components
+from factloom.llm.sift import without_keys
 
 #: Document counts of shingles are exact below this and equal above it; it only orders shingles.
 HOT = 32
@@ -473,12 +474,14 @@ def keep_one_of_each(docs: DataFrame, threshold: int = 70, width: int = 3) -> Da
 
     A doc_id names a document: where several rows of one doc_id remain, one with the smallest text stays.
     Rows with a null doc_id stay, as no group is named after them.  Empty texts are alone and stay.
+    Texts of rows that stay take part in no shuffle.
     """
     found = jaccard_components(docs.select("doc_id", "text"), threshold, width)
-    kept = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    per = materialize(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("rows")), "kept")
+    kept = per.filter("rows > 0")
+    out = without_keys(docs, materialize(per.filter("rows = 0").select("doc_id"), "dropped"), "doc_id")
     if kept.filter("rows > 1").limit(1).count():
         several = kept.filter("rows > 1").select("doc_id")
         once = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
         out = out.join(several, "doc_id", "left_anti").unionByName(once.select("row.*"))
-    return out.unionByName(docs.filter("doc_id is null"))
+    return out

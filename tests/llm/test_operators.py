@@ -255,3 +255,15 @@ def test_sql(spark, name):
     want = duck.sql(Q.ORACLE_SQL[name])
     got = Q.QUERIES[name](spark, "/root/testdata/sf0.001").select(*want.columns).collect()
     assert pairs(tuple(map(str, r)) for r in got) == pairs(tuple(map(str, r)) for r in want.fetchall())
+
+
+def test_without_keys(spark, monkeypatch):
+    from factloom.llm import sift
+
+    rows = spark.createDataFrame([(k if k % 9 else None, str(k), "x") for k in range(-2000, 2000)], "doc_id long, text string, word string")
+    gone = spark.createDataFrame([(k,) for k in range(-2000, 2000, 7)], "doc_id long")
+    want = sorted(str(k) for k in range(-2000, 2000) if not k % 9 or (k + 2000) % 7)
+    for bits in (1 << 26, 1 << 10):  # an overfull filter changes nothing
+        monkeypatch.setattr(sift, "BITS", bits)
+        assert sorted(r.text for r in sift.without_keys(rows, gone, "doc_id").collect()) == want
+    assert sift.without_keys(rows, gone.limit(0), "doc_id").count() == 4000
