@@ -372,7 +372,7 @@ def rule_summary(spark, sf_dir):
 
 @query
 def engine_statuses(spark, sf_dir):
-    events = read(spark, sf_dir, "events").filter("event_id < 2000")
+    events = read(spark, sf_dir, "events")
     kinds = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "incomplete").when(F.col("event_type") == "view", "not-applicable").otherwise("complete")
     rows = events.select(F.concat(F.lit("u"), F.col("user_id")).alias("name"), kinds.alias("status"), F.when(F.col("event_type") == "error", F.concat(F.lit("e"), F.col("event_id"))).alias("message"), F.col("event_id").alias("ord"))
     return D.engine_statuses(rows)
