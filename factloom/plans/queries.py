@@ -252,8 +252,7 @@ def _nations(spark, sf_dir):
     name = lambda c: F.concat(F.lit("n"), F.col(c))
     nation = read(spark, sf_dir, "nation")
     declarations = nation.select(F.lit("nations").alias("path"), F.lit("julia").alias("language"), name("n_nationkey").alias("name"), F.concat(F.lit("World."), name("n_nationkey")).alias("qualified_name"), F.lit("function").alias("kind"), F.col("n_nationkey").alias("line"))
-    few = _trade(spark, sf_dir).filter("o_orderkey < 1500")
-    edges = few.select(F.lit("julia").alias("language"), F.concat(F.lit("World."), name("source_nation")).alias("caller"), name("target_nation").alias("callee"))
+    edges = _trade(spark, sf_dir).select(F.lit("julia").alias("language"), F.concat(F.lit("World."), name("source_nation")).alias("caller"), name("target_nation").alias("callee"))
     roots = nation.filter("n_regionkey = 0").select(F.lit("julia").alias("language"), name("n_nationkey").alias("declaration"))
     return declarations, edges, roots
 
