@@ -113,8 +113,8 @@ def _regions(spark, sf_dir):
 
 
 def _trade(spark, sf_dir):
-    """Orders' first lines as edges between the customer's and the supplier's nation."""
-    lines = read(spark, sf_dir, "lineitem").filter("l_quantity >= 45 and l_linenumber = 1").select("l_orderkey", "l_suppkey")
+    """All line items as edges between the customer's and the supplier's nation."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("source_nation"))
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("target_nation"))

@@ -37,3 +37,10 @@ def graph(spark, root):
 def test_call_graph_sees_late_orders(spark, tmp_path):
     trade(tmp_path, [(1, 1, 50, 0, 1), (1500, 1, 50, 1, 2), (70_000, 1, 50, 2, 1)])
     assert graph(spark, tmp_path) == ({"n0", "n1", "n2"}, {"n3"}, {"n1,n2"})
+
+
+def test_every_line_item_is_an_edge(spark, tmp_path):
+    trade(tmp_path, [(1, 1, 50, 0, 1), (1, 2, 50, 0, 2), (2, 1, 1, 1, 0), (3, 3, 1, 2, 1), (4, 2, 44, 1, 2), (4, 4, 3, 1, 0)])
+    found = sorted(map(tuple, QUERIES["forbidden_dependency"](spark, str(tmp_path)).collect()))
+    assert found == [(1, "AFRICA", "AMERICA"), (1, "AFRICA", "AMERICA"), (2, "AMERICA", "AFRICA"), (4, "AMERICA", "AFRICA")]
+    assert graph(spark, tmp_path) == ({"n0", "n1", "n2"}, {"n3"}, {"n0,n1,n2"})
