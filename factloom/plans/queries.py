@@ -134,7 +134,7 @@ def forbidden_dependency(spark, sf_dir):
 def interop_pairing(spark, sf_dir):
     empty = F.array().cast("array<string>")
     imports = read(spark, sf_dir, "customer").select(F.concat(F.lit("julia/"), F.col("c_custkey")).alias("path"), F.lit("julia").alias("language"), F.col("c_nationkey").cast("string").alias("symbol"), F.lit("import").alias("direction"), F.when(F.col("c_custkey") % 10 == 0, "libc").alias("library"), F.lit("c").alias("calling_convention"), F.array(F.when(F.col("c_custkey") % 3 == 0, "i32").otherwise("i64")).alias("parameter_types"), empty.alias("return_types"), F.col("c_custkey").alias("ord"))
-    exports = read(spark, sf_dir, "supplier").filter("s_suppkey < 15").select(F.concat(F.lit("odin/"), F.col("s_suppkey")).alias("path"), F.lit("odin").alias("language"), F.col("s_nationkey").cast("string").alias("symbol"), F.lit("export").alias("direction"), F.lit(None).cast("string").alias("library"), F.lit("c").alias("calling_convention"), F.array(F.when(F.col("s_suppkey") % 2 == 0, "i32").otherwise("i64")).alias("parameter_types"), empty.alias("return_types"), F.col("s_suppkey").alias("ord"))
+    exports = read(spark, sf_dir, "supplier").select(F.concat(F.lit("odin/"), F.col("s_suppkey")).alias("path"), F.lit("odin").alias("language"), F.col("s_nationkey").cast("string").alias("symbol"), F.lit("export").alias("direction"), F.lit(None).cast("string").alias("library"), F.lit("c").alias("calling_convention"), F.array(F.when(F.col("s_suppkey") % 2 == 0, "i32").otherwise("i64")).alias("parameter_types"), empty.alias("return_types"), F.col("s_suppkey").alias("ord"))
     return J.pair_signatures(imports.unionByName(exports))
 
 

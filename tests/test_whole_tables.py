@@ -44,3 +44,10 @@ def test_every_line_item_is_an_edge(spark, tmp_path):
     found = sorted(map(tuple, QUERIES["forbidden_dependency"](spark, str(tmp_path)).collect()))
     assert found == [(1, "AFRICA", "AMERICA"), (1, "AFRICA", "AMERICA"), (2, "AMERICA", "AFRICA"), (4, "AMERICA", "AFRICA")]
     assert graph(spark, tmp_path) == ({"n0", "n1", "n2"}, {"n3"}, {"n0,n1,n2"})
+
+
+def test_interop_pairing_sees_late_suppliers(spark, tmp_path):
+    table(tmp_path, "customer", c_custkey=[1, 2, 3, 10], c_nationkey=[5, 6, 7, 5])
+    table(tmp_path, "supplier", s_suppkey=[15, 900, 901], s_nationkey=[5, 5, 6])
+    found = sorted((r["symbol"], r["status"], r["julia_path"] or "", r["odin_path"] or "") for r in QUERIES["interop_pairing"](spark, str(tmp_path)).collect())
+    assert found == [("5", "external", "julia/10", ""), ("5", "matched", "julia/1", "odin/15"), ("5", "missing-julia", "", "odin/900"), ("6", "matched", "julia/2", "odin/901"), ("7", "missing-odin", "julia/3", "")]
