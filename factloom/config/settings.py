@@ -144,6 +144,15 @@ class Coverage:
     high_risk_limit: int = 20
 
 
+@dataclass
+class External:
+    """JSON files of facts that other programs made: native summaries, inference reports, build records."""
+
+    native: list[str] = field(default_factory=list)
+    inference: list[str] = field(default_factory=list)
+    builds: list[str] = field(default_factory=list)
+
+
 @dataclass
 class Profile:
     name: str
@@ -180,6 +189,7 @@ class Settings:
     allocation_policies: list[ReviewedPolicy] = field(default_factory=list)
     clones: Clones = field(default_factory=Clones)
     coverage: Coverage = field(default_factory=Coverage)
+    external: External = field(default_factory=External)
     lifetime_enabled: bool = False
     contracts: list[Contract] = field(default_factory=list)
     security_enabled: bool = False

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from factloom.operators import graph as G
 from factloom.operators import joins as J
 from factloom.operators import lines as L
 from factloom.operators import policies as P
-from factloom.sources import lcov
+from factloom.sources import external, lcov
 from factloom.sources.files import source_files
 from factloom.storage import written
 
@@ -124,9 +125,11 @@ def check(spark: SparkSession, root: str, settings: Settings | None = None, exte
     facts = extract(files)
     lines = written(L.line_states(files), "lines")
     rules = _table(spark, [(r.rule_id, {**REGISTRY, **owned}[r.rule_id].language, engine_of({**REGISTRY, **owned}[r.rule_id]), r.response, r.enabled) for r in s.rules], "rule_id string, language string, engine string, response string, enabled boolean")
-    engines: list[tuple[str, str]] = [("common", "complete"), ("julia", "complete"), ("odin", "complete"), ("markdown", "complete"), ("jet", "not-applicable"), ("odin-build", "not-applicable")]
+    engines: list[tuple[str, str]] = [("common", "complete"), ("julia", "complete"), ("odin", "complete"), ("markdown", "complete")]
 
-    found = [file_findings(files, facts, lines, s)]
+    facts, outside, statuses = external_facts(spark, facts, s)
+    engines += statuses
+    found = [file_findings(files, facts, lines, s), *outside]
     unused = J.unused_imports(facts["imports"], facts["references"])
     found.append(_at(unused, F.concat(F.upper("language"), F.lit("-UNUSED-IMPORT")), F.concat(F.lit("Imported binding `"), F.col("name"), F.lit("` is not referenced in this file.")), "unused-imports", subject=F.col("name"), certainty=F.lit("definite")))
 
@@ -230,6 +233,37 @@ def check(spark: SparkSession, root: str, settings: Settings | None = None, exte
     return report
 
 
+def external_facts(spark: SparkSession, facts: dict[str, DataFrame], s: Settings) -> tuple[dict[str, DataFrame], list[DataFrame], list[tuple[str, str]]]:
+    """Facts, findings and engine statuses with those of the configured records.
+
+    Calls, allocations and syntax failures of native summaries take the place of extracted ones of their
+    files.  An engine is complete if its records could be read, also if they report failures.
+    """
+    facts, found, engines = dict(facts), [], []
+    if s.external.native:
+        native = written(external.native_summaries(spark, s.external.native), "native")
+        calls = external.native_calls(native).withColumnRenamed("source_path", "path")
+        for name, rows in (("calls", calls), ("allocations", external.native_allocations(native))):
+            own = facts[name].join(native.select("path").distinct(), "path", "left_anti")
+            position = (F.shiftleft("line", 20) + F.col("column")).cast(own.schema["ord"].dataType)
+            facts[name] = written(own.unionByName(rows.withColumn("ord", position).select(*own.columns)), name)
+        facts["syntax"] = facts["syntax"].join(native.select("path").distinct(), "path", "left_anti")
+        found.append(external.syntax_findings(native))
+    records = (
+        ("jet", s.external.inference, lambda paths: external.inference_findings(spark, paths)),
+        ("odin-build", s.external.builds, lambda paths: external.build_findings(external.read_builds(spark, paths))),
+    )
+    for engine, paths, findings in records:
+        status = "complete" if paths else "not-applicable"
+        if paths:
+            try:
+                found.append(written(findings(paths), engine))
+            except PySparkException:
+                status = "failed"
+        engines.append((engine, status))
+    return facts, found, engines
+
+
 def coverage(spark: SparkSession, root: str, facts: dict[str, DataFrame], calls: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
     """Declarations with static and runtime evidence of tests."""
     lines = lcov.read(spark, s.coverage.traces, root) if s.coverage.traces else _table(spark, [], "path string, line long, count long")

@@ -20,7 +20,7 @@ BUILDS = "id string, input string, output string, command array<string>, flags a
 INFERENCE = "path string, line long, column long, message string, ord long"
 
 
-def native_summaries(spark: SparkSession, path: str) -> DataFrame:
+def native_summaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file of native summaries; another version of the protocol is an error."""
     raw = spark.read.schema(SUMMARY).json(path, multiLine=True)
     checked = raw.withColumn("version", F.when(F.col("version") == VERSION, F.col("version")).otherwise(F.raise_error(F.concat(F.lit("native facts have version "), F.coalesce("version", F.lit("none"))))))
@@ -45,7 +45,7 @@ def syntax_findings(files: DataFrame) -> DataFrame:
     return diagnostics(bad, rule_id=F.lit("ODIN-SYNTAX"), path=F.col("path"), line=F.lit(1), column=F.lit(1), message=F.lit("Odin source could not be parsed."), measured=F.col("errors"), allowed=F.lit(0), source=F.lit("odin-ast"))
 
 
-def inference_findings(spark: SparkSession, path: str) -> DataFrame:
+def inference_findings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Reports of static inference, the first of each position and message."""
     rows = first_of_each(spark.read.schema(INFERENCE).json(path), ["path", "line", "column", "message"], ["ord"])
     return diagnostics(rows, rule_id=F.lit("JULIA-JET-POSSIBLE-ERROR"), path=F.col("path"), line=F.col("line"), column=F.col("column"), message=F.col("message"), source=F.lit("jet"), certainty=F.lit("potential"))
@@ -56,5 +56,5 @@ def build_findings(builds: DataFrame) -> DataFrame:
     return diagnostics(builds.filter("exit_code <> 0"), rule_id=F.lit("ODIN-BUILD-FAILED"), path=F.col("input"), line=F.lit(1), column=F.lit(1), message=F.concat(F.lit("Build target `"), F.col("id"), F.lit("` failed.")), measured=F.col("exit_code"), allowed=F.lit(0), source=F.lit("odin-build"), subject=F.col("id"))
 
 
-def read_builds(spark: SparkSession, path: str) -> DataFrame:
+def read_builds(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.schema(BUILDS).json(path)

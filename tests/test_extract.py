@@ -239,3 +239,21 @@ def test_external_facts(spark, tmp_path):
     assert external.inference_findings(spark, str(tmp_path / "j.json")).count() == 1
     (tmp_path / "b.json").write_text(json.dumps({"id": "x", "input": "a", "exit_code": 3}) + "\n" + json.dumps({"id": "y", "input": "b", "exit_code": 0}))
     assert [(r.subject, r.measured) for r in external.build_findings(external.read_builds(spark, str(tmp_path / "b.json"))).collect()] == [("x", 3)]
+
+
+def test_check_reads_external_facts(spark, tree, tmp_path):
+    native = {"version": "3.10.0", "files": [{"path": "lib/a.odin", "parsed": True, "errors": 0, "findings": [{"rule_id": "ODIN-ALLOCATION-HEAP", "line": 7, "column": 2, "operation": "native_new"}], "calls": [{"caller": "run", "callee": "native_callee", "kind": "direct", "line": 8, "column": 1}]}]}
+    (tmp_path / "n.json").write_text(json.dumps(native))
+    (tmp_path / "j.json").write_text(json.dumps({"path": "app.jl", "line": 3, "column": 1, "message": "no method", "ord": 1}))
+    (tmp_path / "b.json").write_text(json.dumps({"id": "x", "input": "lib", "exit_code": 3}))
+    s = Settings()
+    s.external.native, s.external.inference, s.external.builds = [str(tmp_path / "n.json")], [str(tmp_path / "j.json")], [str(tmp_path / "b.json"), str(tmp_path / "none.json")]
+    lost = check(spark, str(tree), s)
+    assert {r["name"]: r["status"] for r in lost.frames["engines"].collect()}["odin-build"] == "failed" and lost.exit_code == 2
+    s.external.builds.pop()
+    report = check(spark, str(tree), s)
+    engines = {r["name"]: r["status"] for r in report.frames["engines"].collect()}
+    assert engines["jet"] == engines["odin-build"] == "complete" and report.exit_code == 1
+    found = [(r["rule_id"], r["path"], r["operation"]) for r in report.frames["diagnostics"].filter("rule_id in ('JULIA-JET-POSSIBLE-ERROR', 'ODIN-BUILD-FAILED') or rule_id like 'ODIN-ALLOCATION-%'").collect()]
+    assert sorted(found, key=str) == [("JULIA-JET-POSSIBLE-ERROR", "app.jl", None), ("ODIN-ALLOCATION-HEAP", "lib/a.odin", "native_new"), ("ODIN-BUILD-FAILED", "lib", None)]
+    assert [r["callee"] for r in report.frames["calls"].filter("language = 'odin'").collect()] == ["native_callee"]
