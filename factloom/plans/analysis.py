@@ -225,8 +225,9 @@ def check(spark: SparkSession, root: str, settings: Settings | None = None, exte
     for e in extensions:
         mine = [r.status for r in results if r.extension_id == e.extension_id]
         engines.append((e.extension_id, next((x for x in ("failed", "incomplete") if x in mine), "complete" if mine else "not-applicable")))
-    visible, ignored = D.split_ignored(written(every, "all"))
-    frames["diagnostics"], frames["ignored"] = visible, ignored
+    every = written(every, "all")
+    visible, ignored = D.split_ignored(every)
+    frames["diagnostics"], frames["ignored"], frames["ignored_findings"] = visible, ignored, every.filter("response = 'Ignore'")
     frames["engines"] = _table(spark, engines, "name string, status string")
     frames["rules"] = D.rule_summary(rules, visible, ignored, files, frames["engines"])
     report.exit_code = int(D.exit_code(visible, frames["engines"], s.threshold).first()[0])

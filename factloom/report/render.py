@@ -147,7 +147,8 @@ def write_markdown(report: Report, out: TextIO, settings: Settings, full: bool =
     _rows(out, "Functions", functions, ["path", "start_line", "name", "executable_lines", "parameter_count", "cyclomatic", "cognitive", "status"], ["path", "start_line", "name"])
     measured = found.withColumn("measurement", S.measurement(F.col("measured"), F.col("allowed")))
     _rows(out, "Findings by file", measured, ["path", "line", "column", "rule_id", "response", "message", "measurement"], list(D.ORDER))
-    _rows(out, "Allocations", found.filter(D.is_allocation(F.col("rule_id"))), ["path", "line", "rule_id", "procedure", "operation", "allocation_target", "allocator_source", "certainty"], list(D.ORDER))
+    ledger = found.unionByName(frames["ignored_findings"]).filter(D.is_allocation(F.col("rule_id")))
+    _rows(out, "Allocations", ledger, ["path", "line", "rule_id", "procedure", "operation", "allocation_target", "allocator_source", "certainty"], list(D.ORDER))
     sections = [
         ("Coverage gaps", "coverage_gaps", ["language", "path", "name", "evidence_class", "risk_score"]),
         ("Coverage", "coverage_counts", ["language", "declarations", "corroborated", "uncovered", "gaps"]),

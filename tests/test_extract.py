@@ -257,3 +257,20 @@ def test_check_reads_external_facts(spark, tree, tmp_path):
     found = [(r["rule_id"], r["path"], r["operation"]) for r in report.frames["diagnostics"].filter("rule_id in ('JULIA-JET-POSSIBLE-ERROR', 'ODIN-BUILD-FAILED') or rule_id like 'ODIN-ALLOCATION-%'").collect()]
     assert sorted(found, key=str) == [("JULIA-JET-POSSIBLE-ERROR", "app.jl", None), ("ODIN-ALLOCATION-HEAP", "lib/a.odin", "native_new"), ("ODIN-BUILD-FAILED", "lib", None)]
     assert [r["callee"] for r in report.frames["calls"].filter("language = 'odin'").collect()] == ["native_callee"]
+
+
+def test_ledger_holds_ignored_allocations(spark, tree, tmp_path):
+    native = {"version": "3.10.0", "files": [{"path": "lib/a.odin", "parsed": True, "errors": 0, "calls": [], "findings": [{"rule_id": "ODIN-ALLOCATION-HEAP", "line": k, "column": 2, "operation": "new"} for k in (7, 9)]}]}
+    (tmp_path / "n.json").write_text(json.dumps(native))
+    s = Settings()
+    s.external.native = [str(tmp_path / "n.json")]
+    for r in s.rules:
+        if r.rule_id.startswith("ODIN-ALLOCATION-") and not REGISTRY[r.rule_id].immutable:
+            r.response = "Ignore"
+    report = check(spark, str(tree), s)
+    ignored = report.frames["ignored_findings"].filter("rule_id like 'ODIN-ALLOCATION-%'").count()
+    assert ignored == 2 and not report.frames["diagnostics"].filter("rule_id like 'ODIN-ALLOCATION-%'").count()
+    out = io.StringIO()
+    render.write_markdown(report, out, s)
+    ledger = out.getvalue().split("## Allocations")[1].split("\n## ")[0]
+    assert ledger.count("| ODIN-ALLOCATION-") == ignored
