@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import gc
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom import storage
+
 #: A broadcast side is only used when its construction bounds it to so many rows.
 BROADCAST_ROWS = 1000
 
@@ -19,39 +23,51 @@ BROADCAST_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, else one of our own (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = spark.conf.get("factloom.local.scratch", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("factloom.local.scratch", own)
-    return own
+    return found.rstrip("/") if found else storage.shared_dir(spark)
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; it is removed when the driver ends."""
+    """A new path in the shared folder; it is removed when the driver ends, if not before."""
     path = f"{shared_dir(spark)}/factloom-{what}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path; a stopped session leaves nothing to delete with."""
+    """Delete a scratch path, through Hadoop or, once the session has stopped, directly."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # noqa: BLE001 - the gateway may be gone at interpreter exit
-        return
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._factloom_path = path
+    return out
+
+
+def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a URI or local path, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(path if ":/" in path else "file://" + path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for table in tables:
+        remove(table.sparkSession, table._factloom_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of finished jobs now: its cleaner acts when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -17,7 +17,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BROADCAST_ROWS, arrow_map, materialize, scratch_path
+from factloom.llm.common import BROADCAST_ROWS, arrow_map, filesystem, materialize, scratch_path
 
 #: The start of a gzip member as written by any gzip: magic and the deflate method.
 MAGIC = b"\x1f\x8b\x08"
@@ -35,10 +35,6 @@ class Record:
     body: bytes
 
 
-def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-
-
 def record_bytes(headers: list[tuple[str, str]], body: bytes) -> bytes:
     """One record as a gzip member."""
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"Content-Length: {len(body)}\r\n\r\n"
@@ -143,7 +139,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, base = _filesystem(folder)
+        fs, base = filesystem(folder)
         name = f"{base}/part-{task.partitionId():06d}.warc.gz"
         part = f"{base}/_{task.partitionId():06d}-{task.taskAttemptId()}"
         n = 0
@@ -161,7 +157,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
         fs.move(part, name)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    fs, base = _filesystem(folder)
+    fs, base = filesystem(folder)
     fs.create_dir(base, recursive=True)
     marked.mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
@@ -171,7 +167,7 @@ _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type
 
 def read_warc(spark: SparkSession, folder: str, split: int = SPLIT, payloads: bool = True) -> DataFrame:
     """All records of the archives in a folder: ids, digests, types, URLs and (if asked) payload bytes."""
-    fs, base = _filesystem(folder)
+    fs, base = filesystem(folder)
     scheme = folder.partition("://")[0] + "://" if "://" in folder else "file://"
     files = [f for f in fs.get_file_info(pyarrow.fs.FileSelector(base, recursive=True)) if f.is_file and f.base_name.endswith(".warc.gz")]
     ranges = [(scheme + f.path, at, min(at + split, f.size), f.size) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, split)]
@@ -181,7 +177,7 @@ def read_warc(spark: SparkSession, folder: str, split: int = SPLIT, payloads: bo
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
-            fs, path = _filesystem(row["path"])
+            fs, path = filesystem(row["path"])
             with fs.open_input_file(path) as stream:
                 held: list[tuple] = []
                 size = 0

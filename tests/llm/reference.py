@@ -15,8 +15,8 @@ def shingles(text):
     return {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
 
 
-def similar(docs, threshold=70):
-    """(n_shingles, n_similar, component) of rows ``(doc_id, text)``, in order."""
+def similar(docs, threshold=70, roots=None):
+    """(n_shingles, n_similar, component) of rows ``(doc_id, text)``, in order; ``roots`` gets the group of each row."""
     sets = [shingles(t) for _, t in docs]
     linked, root = defaultdict(set), list(range(len(docs)))
 
@@ -32,6 +32,8 @@ def similar(docs, threshold=70):
                 linked[i].add(j)
                 linked[j].add(i)
                 root[max(find(i), find(j))] = min(find(i), find(j))
+    if roots is not None:
+        roots += [find(k) for k in range(len(docs))]
     least = defaultdict(list)
     for k, (i, _) in enumerate(docs):
         if i is not None:
@@ -39,6 +41,17 @@ def similar(docs, threshold=70):
     return [(len(sets[k]), len(linked[k]), min(least[find(k)]) if least[find(k)] else None) for k in range(len(docs))]
 
 
+def one_of_each(docs):
+    """Rows ``(doc_id, text)`` that stay: of each group that of the smallest doc_id, then text; all without words."""
+    roots = []
+    sets = similar(docs, roots=roots)
+    order = lambda r: (math.inf if r[0] is None else r[0], r[1] or "")
+    groups = defaultdict(list)
+    for row, (n, *_), root in zip(docs, sets, roots):
+        groups[root if n else object()].append(row)
+    return [min(g, key=order) for g in groups.values()]
+
+
 def dedup(docs):
     """(n_lines, n_dropped, kept) by row."""
     key = lambda line: line.strip(BLANK).translate(LOWER)

@@ -178,14 +178,41 @@ def test_jaccard_classes(docs):
 
 
 def test_keep_one_of_each(docs, empty):
-    rows = [(r[0], r[1]) for r in table()]
     kept = keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    want = {i for (i, _), w in zip(rows, R.similar(rows)) if i == w[2]} | {None}
-    assert pairs(r.doc_id for r in kept.collect()) == pairs(want)
+    assert pairs((r.doc_id, r.text) for r in kept.collect()) == pairs(R.one_of_each([(r[0], r[1]) for r in table()]))
     assert keep_one_of_each(empty).count() == 0
 
 
+def test_keep_one_of_each_judges_rows(spark):
+    """Repeated and null doc_ids name nothing: each row goes by its own text."""
+    rng = random.Random(3)
+    prose = lambda: " ".join(f"w{rng.randint(0, 9**5)}" for _ in range(60))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a), (4, c), (4, c + " more"), (4, c), (None, c), (None, d), (None, d + " more"), (None, ""), (5, ""), (5, None), (6, prose())]
+    got = keep_one_of_each(spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key int"))
+    assert got.columns == ["doc_id", "text", "key"]
+    want = R.one_of_each(rows)
+    assert len(want) == 8 and pairs((r.doc_id, r.text) for r in got.collect()) == pairs(want)
+
+
+def test_components_small_and_large(spark):
+    """One task or many rounds: the same least nodes."""
+    from factloom.llm.components import components
+
+    rng = random.Random(9)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(40)] + [(7, 7)]
+    root = {}
+    find = lambda x: x if root.get(x, x) == x else find(root[x])
+    for u, v in edges:
+        x, y = find(u), find(v)
+        root[max(x, y)] = min(x, y)
+    want = sorted({(n, find(n)) for e in edges if e[0] != e[1] for n in e})
+    table_ = spark.createDataFrame(edges, "a long, b long")
+    for one_task in (1 << 21, 0):
+        assert sorted(map(tuple, components(table_, one_task).collect())) == want
+
+
 @pytest.mark.parametrize("batches,fanout", [(4, 3), (1, 2), (6, 2)])
 def test_line_dedup(docs, empty, batches, fanout):
     rows = [(r[0], r[1]) for r in table()]
