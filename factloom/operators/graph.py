@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,32 +80,104 @@ def call_roots(declarations: DataFrame, signatures: DataFrame, configured: DataF
     return tests.unionByName(mains).unionByName(bridges).unionByName(chosen).unionByName(inferred.select("id", "path", "language", "declaration", "category")).distinct()
 
 
-def mutual_components(edges: DataFrame) -> DataFrame:
-    """Strongly connected components of more than one node: ``(component, members, size)``.
+#: Edges of a graph that one task takes (about 200 MB there); the result does not depend on it.
+ONE_TASK = 1 << 20
+
 
-    Meant for graphs of configured layers: pairs of the transitive closure are at most the square of the
-    number of layers.
+def mutual_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """Strongly connected components of more than one node: ``(component, members, size)``, the least member first.
+
+    Graphs of at most ``one_task`` edges go through one task.  Of larger ones, nodes without a predecessor or
+    successor are trimmed; every node takes the least name that reaches it as its colour; and the nodes of a colour
+    that reach its namesake are a component.  What is left goes round again.  No closure is built.
     """
-    plain = edges.select("source", "target").filter("source <> target").distinct()
-    seeds = plain.select(F.col("source").alias("origin"), F.col("target").alias("node"))
-    pairs = _pairs(seeds, plain)
-    back = pairs.select(F.col("node").alias("origin"), F.col("origin").alias("node"))
-    mutual = pairs.join(back, ["origin", "node"], "left_semi").filter("origin <> node")
-    groups = mutual.groupBy("origin").agg(F.array_sort(F.collect_set("node")).alias("others"))
-    members = groups.select(F.array_sort(F.array_union("others", F.array("origin"))).alias("members")).distinct()
-    return members.select(F.element_at("members", 1).alias("component"), "members", F.size("members").cast("long").alias("size"))
-
-
-def _pairs(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """Transitive closure as (origin, node) pairs."""
-    edges = written(edges, "edges")
-    every = written(seeds.distinct(), "pairs")
-    frontier = every
-    while frontier.limit(1).count():
-        grown = frontier.withColumnRenamed("node", "source").join(edges, "source").select("origin", F.col("target").alias("node")).distinct()
-        frontier = written(grown.join(every, ["origin", "node"], "left_anti"), "frontier")
-        every = written(every.unionByName(frontier), "pairs")
-    return every
+    left = written(edges.select("source", "target").filter("source <> target").distinct(), "edges")
+    found: list[DataFrame] = []
+    while left.count() > one_task:
+        left, trimmed = _trimmed(left), left
+        if left.count() < trimmed.count():
+            continue
+        names = left.select(F.col("source").alias("node"))
+        colours = _least_reaching(names.distinct(), left)
+        of = lambda c: colours.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
+        inside = left.join(of("source"), "source").join(of("target"), "target").filter("source_colour = target_colour").select(F.col("source_colour").alias("colour"), F.col("target").alias("source"), F.col("source").alias("target"))
+        back = closure(colours.filter("node = colour").select("colour", "node"), inside, ["colour"])
+        done = written(back, "components")
+        found.append(done.withColumnRenamed("colour", "root"))
+        ends = done.select(F.col("node"))
+        left = written(left.join(ends.withColumnRenamed("node", "source"), "source", "left_anti").join(ends.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"), "left")
+    out = left.repartition(1).mapInArrow(_components_of_batches, "root string, node string")
+    for part in found:
+        out = out.unionByName(part.select("root", "node"))
+    groups = out.groupBy("root").agg(F.array_sort(F.collect_set("node")).alias("members")).filter(F.size("members") > 1)
+    return groups.select(F.element_at("members", 1).alias("component"), "members", F.size("members").cast("long").alias("size"))
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have both a predecessor and a successor."""
+    targets, sources = edges.select(F.col("target").alias("source")).distinct(), edges.select(F.col("source").alias("target")).distinct()
+    return written(edges.join(targets, "source", "left_semi").join(sources, "target", "left_semi").select("source", "target"), "trimmed")
+
+
+def _least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, colour)``: the least node that reaches each node, itself included, by rounds of minima over edges."""
+    now = written(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")), "colours")
+    while now.filter("fresh").limit(1).count():
+        sent = now.filter("fresh").withColumnRenamed("node", "source").join(edges, "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("offer"))
+        better = F.col("offer") < F.col("colour")
+        now = written(now.join(sent, "node", "left").select("node", F.when(better, F.col("offer")).otherwise(F.col("colour")).alias("colour"), F.coalesce(better, F.lit(False)).alias("fresh")), "colours")
+    return now.select("node", "colour")
+
+
+def strong_components(source: list[str], target: list[str]) -> list[list[str]]:
+    """Strongly connected components of more than one node, by depth-first search with low links, without recursion."""
+    after: dict[str, list[str]] = {}
+    for u, v in zip(source, target):
+        after.setdefault(u, []).append(v)
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack: list[str] = []
+    on: set[str] = set()
+    out: list[list[str]] = []
+    for start in after:
+        if start in index:
+            continue
+        path = [(start, iter(after[start]))]
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        on.add(start)
+        while path:
+            node, rest = path[-1]
+            for child in rest:
+                if child not in index:
+                    index[child] = low[child] = len(index)
+                    stack.append(child)
+                    on.add(child)
+                    path.append((child, iter(after.get(child, ()))))
+                    break
+                if child in on:
+                    low[node] = min(low[node], index[child])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == index[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(stack.pop())
+                        on.discard(group[-1])
+                    if len(group) > 1:
+                        out.append(group)
+    return out
+
+
+def _components_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    source, target = [], []
+    for batch in batches:
+        source += batch.column("source").to_pylist()
+        target += batch.column("target").to_pylist()
+    rows = [(min(group), node) for group in strong_components(source, target) for node in group]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["root", "node"])
 
 
 def dependency_cycles(layer_edges: DataFrame) -> DataFrame:

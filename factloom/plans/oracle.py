@@ -15,12 +15,21 @@ TRADE = """
 trade AS (
   SELECT o_orderkey, c_nationkey AS source_nation, s_nationkey AS target_nation
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity >= 45 AND l_linenumber = 1
 )
 """
 
 EDGES = TRADE + """, edges AS (
-  SELECT DISTINCT 'n' || source_nation AS s, 'n' || target_nation AS t FROM trade WHERE o_orderkey < 1500
+  SELECT DISTINCT 'n' || source_nation AS s, 'n' || target_nation AS t FROM trade
+)
+"""
+
+PARTIES = """
+edges AS (
+  SELECT 'p' || o_custkey AS s, 'p' || arg_max(l_suppkey, n * 1000000000 - l_suppkey) AS t
+  FROM (SELECT o_custkey, l_suppkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY o_custkey
+), reached AS (
+  SELECT 'p' || c_custkey AS name FROM customer WHERE c_nationkey = 0
+  UNION SELECT t FROM reached JOIN edges ON s = name WHERE t IN (SELECT 'p' || c_custkey FROM customer)
 )
 """
 
@@ -143,7 +152,7 @@ WHERE a.r_name <> b.r_name AND (a.r_name, b.r_name) NOT IN (('ASIA', 'EUROPE'),
 """,
     "interop_pairing": """
 WITH i AS (SELECT c_nationkey AS k, 'julia/' || c_custkey AS path, c_custkey % 10 = 0 AS lib, CASE WHEN c_custkey % 3 = 0 THEN 'i32' ELSE 'i64' END AS t FROM customer),
-e AS (SELECT s_nationkey AS k, 'odin/' || s_suppkey AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'i32' ELSE 'i64' END AS t, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier WHERE s_suppkey < 15)
+e AS (SELECT s_nationkey AS k, 'odin/' || s_suppkey AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'i32' ELSE 'i64' END AS t, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier)
 SELECT i.k::VARCHAR AS symbol, CASE WHEN e.k IS NULL THEN 'missing-odin' WHEN i.t = e.t THEN 'matched' ELSE 'signature-mismatch' END AS status, i.path AS julia_path, e.path AS odin_path, CASE WHEN i.t <> e.t THEN 'parameter types ' || i.t || ' != ' || e.t END AS mismatch
 FROM i LEFT JOIN e ON i.k = e.k AND e.n = 1 WHERE NOT lib
 UNION ALL SELECT k::VARCHAR, 'external', path, NULL, NULL FROM i WHERE lib
@@ -215,6 +224,18 @@ WITH RECURSIVE {EDGES}, paths AS (
 ), groups AS (
   SELECT DISTINCT list_sort(list_distinct(list_append(list(t), s))) AS m FROM mutual GROUP BY s
 ) SELECT m[1] AS component, array_to_string(m, ',') AS members, len(m) AS size FROM groups
+""",
+    "party_reachability": f"WITH RECURSIVE {PARTIES} SELECT name FROM reached",
+    "party_unreachable": f"""
+WITH RECURSIVE {PARTIES}
+SELECT 'p' || c_custkey AS name, 'Trade.p' || c_custkey AS qualified_name FROM customer WHERE 'p' || c_custkey NOT IN (SELECT name FROM reached)
+""",
+    "party_cycles": f"""
+WITH RECURSIVE {PARTIES}, paths AS (
+  SELECT s, t FROM edges WHERE s <> t UNION SELECT p.s, e.t FROM paths p JOIN edges e ON p.t = e.s WHERE e.s <> e.t
+), cycles AS (
+  SELECT DISTINCT list_sort(list_distinct(list_append(list(b.s), a.s))) AS m FROM paths a JOIN paths b ON a.s = b.t AND a.t = b.s WHERE a.s <> b.s GROUP BY a.s
+) SELECT m[1] AS component, array_to_string(m, ',') AS members, len(m) AS size FROM cycles
 """,
     "root_union": """
 WITH d AS (SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'test/a.jl' ELSE 'src/a.jl' END AS path, CASE WHEN n_nationkey = 7 THEN 'main' ELSE n_name END AS name, 'World.' || n_name AS q FROM nation)
@@ -259,7 +280,7 @@ SELECT rule_id, response, CASE WHEN NOT enabled THEN 'disabled' WHEN engine = 'f
 CASE WHEN enabled AND language = 'common' THEN (SELECT count(*) FROM documents) ELSE 0 END AS files_checked, (SELECT count(*) FROM kept k WHERE k.rule_id = r.rule_id) AS findings, 2 AS exit_code FROM r
 """,
     "engine_statuses": """
-WITH e AS (SELECT 'u' || user_id AS name, event_type, event_id FROM events WHERE event_id < 2000)
+WITH e AS (SELECT 'u' || user_id AS name, event_type, event_id FROM events)
 SELECT name, CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN bool_or(event_type = 'click') THEN 'incomplete' WHEN bool_and(event_type = 'view') THEN 'not-applicable' ELSE 'complete' END AS status,
 coalesce(string_agg('e' || event_id, '; ' ORDER BY event_id) FILTER (event_type = 'error'), '') AS message FROM e GROUP BY name
 """,

@@ -274,6 +274,36 @@ def scc_groups(spark, sf_dir):
     return found.select("component", F.array_join("members", ",").alias("members"), "size")
 
 
+def _parties(spark, sf_dir):
+    """Customers as callables; each calls the party whose key is that of the supplier of most of its line items; nation 0 has the roots."""
+    name = lambda c: F.concat(F.lit("p"), F.col(c))
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    bought = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    per = bought.groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n"))
+    chosen = per.groupBy("o_custkey").agg(F.max_by("l_suppkey", F.struct("n", -F.col("l_suppkey"))).alias("s"))
+    edges = chosen.select(F.lit("julia").alias("language"), F.concat(F.lit("Trade."), name("o_custkey")).alias("caller"), name("s").alias("callee"))
+    declarations = customers.select(F.lit("parties").alias("path"), F.lit("julia").alias("language"), name("c_custkey").alias("name"), F.concat(F.lit("Trade."), name("c_custkey")).alias("qualified_name"), F.lit("function").alias("kind"), F.col("c_custkey").alias("line"))
+    roots = customers.filter("c_nationkey = 0").select(F.lit("julia").alias("language"), name("c_custkey").alias("declaration"))
+    return declarations, edges, roots
+
+
+@query
+def party_reachability(spark, sf_dir):
+    return G.reachable_names(*_parties(spark, sf_dir)).select("name")
+
+
+@query
+def party_unreachable(spark, sf_dir):
+    return G.unreachable(*_parties(spark, sf_dir)).select("name", "qualified_name")
+
+
+@query
+def party_cycles(spark, sf_dir):
+    _, edges, _ = _parties(spark, sf_dir)
+    found = G.mutual_components(edges.select(S.terminal_name(F.col("caller")).alias("source"), F.col("callee").alias("target")))
+    return found.select("component", F.array_join("members", ",").alias("members"), "size")
+
+
 @query
 def root_union(spark, sf_dir):
     text = lambda c: F.col(c).cast("string")

@@ -293,3 +293,28 @@ def test_constructor_names(spark):
     found = D.diagnostics(spark.createDataFrame([("Thing",), ("Other",)], "s string"), rule_id=F.lit("JULIA-NAMING"), operation=F.lit("function"), subject=F.col("s"))
     types = spark.createDataFrame([("b.jl", "julia", "Thing", "Thing", "type", None, 1, 1)], DECLARATION)
     assert rows(J.without_constructors(found, types), "subject") == [("Other",)]
+
+
+def test_components_in_one_task_and_by_colours(spark):
+    import random
+
+    from factloom.operators.graph import mutual_components
+
+    rng = random.Random(4)
+    edges = [(f"n{rng.randint(0, 60)}", f"n{rng.randint(0, 60)}") for _ in range(75)] + [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("x", "x")]
+    reach = {}
+    for start in {u for u, _ in edges}:
+        seen, todo = set(), [start]
+        while todo:
+            for u, v in edges:
+                if u == todo[-1] and v not in seen:
+                    seen.add(v)
+                    todo.insert(0, v)
+            todo.pop()
+        reach[start] = seen
+    want = {tuple(sorted({v for v in reach[u] if u in reach.get(v, ())} | {u})) for u in reach}
+    table = spark.createDataFrame(edges, "source string, target string")
+    for one_task in (1 << 20, 0):
+        found = mutual_components(table, one_task).collect()
+        assert {tuple(r["members"]) for r in found} == {w for w in want if len(w) > 1} and len(found) == len({r["component"] for r in found})
+        assert all(r["component"] == r["members"][0] and r["size"] == len(r["members"]) for r in found)
