@@ -1,4 +1,4 @@
-"""Dropping rows by key without moving the rows that stay."""
+"""Splitting rows by a table of keys without moving those that have none of them."""
 
 from __future__ import annotations
 
@@ -24,13 +24,12 @@ def _bloom(keys: DataFrame, key: str) -> np.ndarray:
     return out
 
 
-def without_keys(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in the table ``dropped`` of distinct keys; rows with a null key stay.
+def split(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be in the table ``keys`` of distinct keys, and rows whose key is not, those with a null key among them.
 
-    Rows that a Bloom filter of bounded size clears stay where they are; only the others, about as many
-    as are dropped, are shuffled for the exact anti-join.
+    A Bloom filter of bounded size decides; a fuller filter only makes the first part larger.
     """
-    words = _bloom(dropped, key)
+    words = _bloom(keys, key)
     bits = len(words) * 64
 
     @F.pandas_udf("boolean")
@@ -42,5 +41,14 @@ def without_keys(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
         return pd.Series(out)
 
     hit = maybe(F.xxhash64(key))
-    exact = rows.filter(hit).join(dropped.select(key), key, "left_anti").select(*rows.columns)
-    return rows.filter(~hit).unionByName(exact)
+    return rows.filter(hit), rows.filter(~hit | F.col(key).isNull())
+
+
+def without_keys(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in the table ``dropped`` of distinct keys; rows with a null key stay.
+
+    Only rows that a filter can't clear, about as many as are dropped, are shuffled for the exact anti-join.
+    """
+    hit, clear = split(rows, dropped, key)
+    exact = hit.filter(F.col(key).isNotNull()).join(dropped.select(key), key, "left_anti").select(*rows.columns)
+    return clear.unionByName(exact)

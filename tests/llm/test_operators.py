@@ -1,6 +1,7 @@
 """Operators against plain versions, on a table of awkward rows."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -274,6 +275,44 @@ def test_warc(spark, tmp_path):
     assert warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_embedded_records(spark, tmp_path):
+    """Payloads that hold whole records, archives or parts of them make no record, however the files are cut."""
+    from factloom.llm.warc import record_bytes
+
+    rng = random.Random(2)
+    noise = lambda n: rng.randbytes(n)
+    inner = [record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{900 + k}>")], noise(300)) for k in range(6)]
+    bodies = [noise(500), noise(2000) + inner[0] + noise(700), b"".join(inner), inner[1], inner[2] + inner[3][:-5], noise(100), b"", b"".join(inner[2:]) + b"\x1f\x8b\x08", noise(3000)]
+    os.makedirs(f"{tmp_path}/a")
+    for name in ("a/one.warc.gz", "two.warc.gz"):
+        with open(tmp_path / name, "wb") as out:
+            for k, body in enumerate(bodies):
+                out.write(record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{k}>")], body))
+    want = sorted([(k, len(b), hashlib.sha1(b).hexdigest()) for k, b in enumerate(bodies)] * 2)
+    for split in (64, 333, 1000, 4096, 1 << 24):
+        got = read_warc(spark, f"file://{tmp_path}", split)
+        assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got.collect()) == want
+    with open(tmp_path / "two.warc.gz", "r+b") as out:
+        out.seek(900)
+        out.write(b"damage")
+    for split in (333, 1 << 24):
+        with pytest.raises(Exception, match="record"):
+            read_warc(spark, f"file://{tmp_path}", split).count()
+
+
+def test_warc_of_null_and_repeated_ids(spark):
+    big, other = "payload " * 200, "another " * 200
+    rows = [(1, big), (1, big), (2, big), (2, big), (None, big), (None, other), (None, other), (3, other), (3, "small"), (4, None), (4, "x" * 1000), (None, None)]
+    pages = spark.createDataFrame([(i, None, h, 0) for i, h in rows], "page_id long, url string, html string, owner int")
+    owner = {big: 2, other: 3}
+    want = []
+    for i, h in rows:
+        p, o = (h or "").encode(), owner.get(h)
+        again = o is not None and i != o
+        want.append((i, len(p), hashlib.sha1(p).hexdigest(), "revisit" if again else "response", o if again else None))
+    assert pairs(map(tuple, warc_round_trip(pages).collect())) == pairs(want)
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_sql(spark, name):
     duck = duckdb.connect()
