@@ -119,3 +119,23 @@ def license_base(text):
         places += found
         labels |= {label} if found else set()
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def accepted(hits):
+    """Intervals ``(start, end, priority, order)`` that no accepted one suppresses, taken one after the other."""
+    kept = []
+    for a, b, p, k in sorted(hits, key=lambda h: (h[2], h[0] - h[1], h[0], h[3])):
+        if not any((x <= a and b <= y) or (x < b and a < y and q < p) for x, y, q, _ in kept):
+            kept.append((a, b, p, k))
+    return kept
+
+
+def license_labels(text, rules):
+    """All labels and the score, from every signature on the whole text, without a prefilter."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    hits = [(m.start(), m.end(), r.priority, k) for k, r in enumerate(rules) for m in r.pattern.finditer(" ".join(w))]
+    found = accepted(hits)
+    base = {x for x in license_base(text)[4].split(",") if x}
+    labels = base | {rules[k].label for _, _, _, k in found}
+    score = 1.0 if base else round(max((1 - p / 100 for _, _, p, _ in found), default=0.0), 6)
+    return ",".join(sorted(labels)), score

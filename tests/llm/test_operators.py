@@ -241,6 +241,37 @@ def test_license(docs, empty):
     assert license_scan(empty).count() == 0
 
 
+def test_license_suppression():
+    from factloom.llm.license_scan import unsuppressed
+
+    rng = random.Random(8)
+    for _ in range(300):
+        hits = []
+        for k in range(rng.randint(0, 40)):
+            a = rng.randint(0, 60)
+            hits.append((a, a + rng.randint(1, 25), rng.randint(1, 4), k))
+        assert sorted(unsuppressed(hits)) == sorted(R.accepted(hits))
+
+
+def test_license_labels(spark):
+    """Labels and scores against all signatures on whole texts; a collection of notices takes seconds."""
+    import time
+
+    from factloom.llm.license_rules import signatures
+
+    rng = random.Random(6)
+    parts = [p.split("|")[-1].strip() for p in __import__("factloom.llm.license_rules", fromlist=["SIGNATURES"]).SIGNATURES.splitlines() if "|" in p]
+    plain = [R.re.sub(r"[^a-z0-9 ]", " ", R.re.sub(r"\(\?:([^|)]*)[^)]*\)\??", r"\1", p)) for p in parts]
+    texts = [" ".join(rng.choice(plain) if rng.random() < 0.5 else rng.choice(["prose", "é", "Foo;", "the", "license", "GPL", "2", "0"]) for _ in range(rng.randint(0, 60))) for _ in range(120)] + [None, "", "MIT", "mit mit license mit license"]
+    got = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in got} == {k: R.license_labels(t, signatures()) for k, t in enumerate(texts)}
+    assert len({r.labels for r in got}) > 60
+    begun = time.time()
+    notices = "Released under the MIT License. Apache License, Version 2.0 and CC BY-NC 4.0. New BSD License.\n" * 50_000
+    assert license_scan(spark.createDataFrame([(1, notices)], "doc_id long, text string")).first().n_base == 150_000
+    assert time.time() - begun < 120
+
+
 def test_license_overlaps(spark):
     text = "Licensed under the Apache License, Version 2.0 (the License). é CC-BY-NC-SA 4.0. New BSD License."
     rows = license_spans(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
