@@ -2,9 +2,10 @@
 
 Every text gets rule features.  A score of badness is fitted on a bounded sample of labelled documents; the
 cutoff of each stratum (language) is the lowest on a fixed grid for which an exact binomial bound on all
-held-out good documents proves that the rule rejects at most ``RISK`` of them.  Cutoffs are tested from
-the highest down and the first failure ends the sequence (so the tests of a stratum need no correction);
-strata share the error probability equally (Bonferroni).
+held-out good documents that the base rules keep proves that the score rejects at most ``RISK`` of such
+documents.  Cutoffs are tested from the highest down and the first failure ends the sequence (so the tests
+of a stratum need no correction); strata share the error probability equally (Bonferroni).  Strata with
+too few holdouts to prove anything even alone are not tested and reject by the base rules only.
 """
 
 from __future__ import annotations
@@ -26,13 +27,11 @@ from factloom.llm.line_dedup import line_spans
 #: Good documents that a stratum's rule may reject, and the probability that any stratum's rule rejects more.
 RISK = 0.01
 ERROR = 0.05
-#: Labelled documents that the score is fitted on; all other labelled ones are the holdout.
+#: One in so many labelled documents is fitted on, ``SAMPLE`` at most; all other labelled ones are holdouts.
+FITTED = 10
 SAMPLE = 20_000
 #: Cutoffs that are tested.
 GRID = 200
-#: Strata with a rule of their own: the largest ones by good holdouts; all others share one.
-STRATA = 1000
-OTHER = "(other)"
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -102,28 +101,57 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
     return (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
 
 
+def binomial_tail(failures: int, trials: int, rate: float) -> float:
+    """The probability of at most so many failures: the incomplete beta function by its continued fraction."""
+    if failures >= trials or rate <= 0:
+        return 1.0
+    if rate >= 1:
+        return 0.0
+    a, b, x = float(trials - failures), failures + 1.0, 1.0 - rate
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta(b, a, 1.0 - x)
+    return _beta(a, b, x)
+
+
+def _beta(a: float, b: float, x: float) -> float:
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0) or tiny)
+    value = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + step * d or tiny)
+            c = 1.0 + step / c or tiny
+            value *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return front * value
+
+
 def binomial_upper(failures: int, trials: int, error: float) -> float:
     """The exact (Clopper-Pearson) upper bound: the rate at which so few failures have probability ``error``."""
     if failures >= trials:
         return 1.0
-    terms = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) for k in range(failures + 1)]
     low, high = failures / trials, 1.0
     for _ in range(60):
-        p = (low + high) / 2
-        logs = np.array([t + k * math.log(p) + (trials - k) * math.log1p(-p) for k, t in enumerate(terms)]) if 0 < p < 1 else np.zeros(1)
-        top = logs.max()
-        if top + math.log(np.exp(logs - top).sum()) > math.log(error):
-            low = p
+        middle = (low + high) / 2
+        if binomial_tail(failures, trials, middle) > error:
+            low = middle
         else:
-            high = p
+            high = middle
     return high
 
 
+def least_trials(risk: float, error: float) -> int:
+    """Holdouts below which not even no failure at all proves the risk."""
+    return math.ceil(math.log(error) / math.log1p(-risk))
+
+
 def certified(rejected: np.ndarray, trials: int, risk: float, error: float) -> int:
     """The lowest certified grid step, ``len(rejected)`` if none: ``rejected[g]`` good holdouts score step g or more."""
     best = len(rejected)
     for g in range(len(rejected) - 1, -1, -1):
-        if trials == 0 or rejected[g] > risk * trials or binomial_upper(int(rejected[g]), trials, error) > risk:
+        if trials == 0 or rejected[g] > risk * trials or binomial_tail(int(rejected[g]), trials, risk) > error:
             break
         best = g
     return best
@@ -143,8 +171,7 @@ class QualityModel:
         return predict(model_inputs(counts), self.weights)
 
     def verdict(self, counts: np.ndarray, strata: list[str | None]) -> np.ndarray:
-        other = self.cutoffs.get(OTHER, GRID)
-        cut = np.array([self.cutoffs.get(s, other) for s in strata], np.int64)
+        cut = np.array([self.cutoffs.get(s, GRID) for s in strata], np.int64)
         return ~base_failed(counts) & (grid_step(self.scores(counts)) < cut)
 
 
@@ -172,15 +199,18 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 def fit_quality(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, sample: int = SAMPLE) -> QualityModel:
     """Fit the score and certify the cutoffs from a table of ``features`` and labels ``(doc_id, quality 0/1)``.
 
-    The score learns from a quarter of the labelled documents, ``sample`` at most, chosen by hash; all other
-    good ones are counted by stratum and grid step (where the base rules keep them) for the bounds.
+    The score learns from one in ``FITTED`` labelled documents, ``sample`` at most, chosen by hash of doc_id; all
+    other good ones that the base rules keep are counted by stratum and grid step for the bounds.  Repeated
+    labels of a doc_id count once (the better one), repeated rows of a labelled doc_id each count; null labels
+    and null doc_ids do not.  Strata are certified on the executors; what comes back is one number for each
+    certified stratum, at most one for every ``least_trials`` (299 by default) labelled documents.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     draw = F.xxhash64(F.lit("quality"), "doc_id")
-    quarter = F.pmod("d", F.lit(4)) == 0
-    edge = known.select(draw.alias("d")).filter(quarter).orderBy("d").limit(sample).agg(F.max("d")).first()[0]
+    part = F.pmod("d", F.lit(FITTED)) == 0
+    edge = known.select(draw.alias("d")).filter(part).orderBy("d").limit(sample).agg(F.max("d")).first()[0]
     labelled = materialize(rows.join(known, "doc_id").withColumn("d", draw), "labelled")
-    fitted = quarter & (F.col("d") <= F.lit(edge if edge is not None else 0))
+    fitted = part & (F.col("d") <= F.lit(edge if edge is not None else 0))
     train = labelled.filter(fitted).orderBy("d", *FEATURES).limit(sample).select("quality", *FEATURES).toPandas()
     counts = train[list(FEATURES)].to_numpy(np.int64).reshape(-1, len(FEATURES))
     y = (train["quality"].to_numpy() == 0).astype(float)
@@ -191,22 +221,23 @@ def fit_quality(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: f
 
     def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts = _matrix(batch)
-        step = np.where(base_failed(counts), -1, grid_step(scorer.scores(counts)))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("stratum")), pa.array(step)], ["stratum", "step"])
+        keep = pa.array(~base_failed(counts))
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("stratum")), pa.array(grid_step(scorer.scores(counts)))], ["stratum", "step"]).filter(keep)
 
     good = arrow_map(labelled.filter(~fitted & (F.col("quality") == 1)).select("stratum", *FEATURES), steps, "stratum string, step long")
     table = materialize(good.groupBy("stratum", "step").agg(F.count("*").alias("n")), "steps")
-    top = table.groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(STRATA)
-    chosen = [r["stratum"] for r in top.collect()]
-    # at most STRATA + 1 strata with GRID + 1 steps each
-    name = F.when(F.col("stratum").isNull() | F.col("stratum").isin([c for c in chosen if c is not None]), F.col("stratum")).otherwise(F.lit(OTHER))
-    hist: dict[str | None, np.ndarray] = {}
-    for r in table.groupBy(name.alias("stratum"), "step").agg(F.sum("n").alias("n")).collect():
-        hist.setdefault(r["stratum"], np.zeros(GRID + 1, np.int64))[r["step"] + 1] += r["n"]
-    share = error / max(1, len(hist))
-    for stratum, n in hist.items():
-        rejected = np.cumsum(n[1:][::-1])[::-1]
-        scorer.cutoffs[stratum] = certified(rejected, int(n.sum()), risk, share)
+    sizes = table.groupBy("stratum").agg(F.sum("n").alias("trials")).filter(F.col("trials") >= least_trials(risk, error))
+    tested = sizes.count()
+
+    def cutoff(key: tuple, group: pa.Table) -> pa.Table:
+        n = np.zeros(GRID, np.int64)
+        np.add.at(n, group.column("step").to_numpy(), group.column("n").to_numpy())
+        cut = certified(np.cumsum(n[::-1])[::-1], int(n.sum()), risk, error / tested)
+        return pa.table({"stratum": pa.array([key[0].as_py()], pa.string()), "cut": pa.array([cut], pa.int64())})
+
+    chosen = table.join(sizes.withColumnRenamed("stratum", "s"), F.col("stratum").eqNullSafe(F.col("s"))).select("stratum", "step", "n")
+    found = chosen.groupBy("stratum").applyInArrow(cutoff, "stratum string, cut long").filter(F.col("cut") < GRID)
+    scorer.cutoffs = {r["stratum"]: r["cut"] for r in found.collect()}
     return scorer
 
 

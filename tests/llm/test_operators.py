@@ -11,6 +11,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import reference as R
+from factloom.llm import quality
 from factloom.llm import queries as Q
 from factloom.llm.jaccard_join import jaccard_components, keep_one_of_each, similar
 from factloom.llm.langid import language_id
@@ -147,6 +148,9 @@ def test_quality(docs, empty, labels):
 def test_quality_cutoffs():
     assert abs(binomial_upper(0, 100, 0.05) - (1 - 0.05 ** (1 / 100))) < 1e-9
     assert binomial_upper(5, 5, 0.05) == 1.0
+    for n, k, p in ((50, 3, 0.2), (400, 0, 0.01), (3000, 41, 0.01), (10**6, 9_800, 0.01), (7, 6, 0.9)):
+        exact = __import__("math").fsum(__import__("math").exp(__import__("math").lgamma(n + 1) - __import__("math").lgamma(j + 1) - __import__("math").lgamma(n - j + 1) + j * __import__("math").log(p) + (n - j) * __import__("math").log1p(-p)) for j in range(k + 1))
+        assert abs(quality.binomial_tail(k, n, p) - exact) < 1e-6 * exact
     exact = sum(__import__("math").comb(50, k) * 0.2**k * 0.8 ** (50 - k) for k in range(4))
     assert abs(binomial_upper(3, 50, exact) - 0.2) < 1e-9
     import numpy as np
@@ -155,6 +159,69 @@ def test_quality_cutoffs():
     assert certified(np.array([0, 0, 0]), 10, 0.01, 0.05) == 3  # ten holdouts prove nothing
 
 
+def test_quality_with_certified_cutoffs(spark):
+    """Thousands of labels: the cutoffs are those of plain binomial sums, they reject bad texts and few good ones."""
+    import math
+
+    import numpy as np
+
+    from factloom.llm import textbuf as tb
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    vocabulary = [word() for _ in range(800)]
+
+    def text(good):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(25, 60))]
+        if not good:
+            w = [x.upper() + rng.choice("#$%|") if rng.random() < 0.5 else x for x in w]
+        return "\n".join(" ".join(w[k : k + 12]) for k in range(0, len(w), 12))
+
+    sizes = {"en": 5000, "de": 5000, None: 700, "rare": 200}
+    rows, labels_ = [], []
+    for lang, n in sizes.items():
+        for _ in range(n):
+            good = rng.random() < 0.85
+            # some good texts look bad, so that cutoffs have to give way
+            rows.append((len(rows), text(good and rng.random() > 0.004), lang))
+            labels_.append((len(labels_), int(good), 0))
+    rows += [(None, text(False), "en"), (10**6, text(False), "rare"), (10**6 + 1, None, "de")]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    known = spark.createDataFrame(labels_, "doc_id long, quality int, toxic int")
+    table_ = quality.features(docs_).persist()
+    model = quality.fit_quality(table_, known)
+    data, bounds = tb.column_bytes(__import__("pyarrow").array([r[1] for r in rows]))
+    counts = quality.text_features(data, bounds)
+    scores, failed = model.scores(counts), quality.base_failed(counts)
+    fitted = {r[0] for r in spark.sql("select id from range(20000) where pmod(xxhash64('quality', id), 10) = 0").collect()}
+    held = {}
+    for (i, _, lang), (_, q, _), score, bad in zip(rows, labels_, scores, failed):
+        if q and i not in fitted and not bad:
+            held.setdefault(lang, []).append(min(int(score * 200), 199))
+    tested = {k: v for k, v in held.items() if 0.99 ** len(v) <= 0.05}
+    assert set(tested) == {"en", "de", None}
+    want = {}
+    for lang, steps in tested.items():
+        n, cut = len(steps), 200
+        for g in range(199, -1, -1):
+            k = sum(x >= g for x in steps)
+            tail = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(0.01) + (n - j) * math.log(0.99)) for j in range(k + 1))
+            if k > 0.01 * n or tail > 0.05 / 3:
+                break
+            cut = g
+        if cut < 200:
+            want[lang] = cut
+    assert model.cutoffs == want and {"en", "de"} <= set(want) and any(sum(x >= c for x in held[k]) for k, c in want.items())
+    got = {r.doc_id: r.kept for r in quality_rules(docs_, known).collect()}
+    for (i, _, lang), score, bad in zip(rows, scores, failed):
+        assert got[i] == (not bad and int(score * 200) < want.get(lang, 200)), (i, lang)
+    judged = [(q, got[i]) for (i, _, lang), (_, q, _) in zip(rows, labels_) if lang in ("en", "de")]
+    assert sum(not k for q, k in judged if q) <= 0.01 * sum(q for q, _ in judged)
+    assert sum(not k for q, k in judged if not q) >= 0.9 * sum(not q for q, _ in judged)
+    kept = sorted((r.doc_id is None, r.doc_id) for r in keep_good(docs_, known).collect())
+    assert kept == sorted((i is None, i) for i, k in got.items() if k)
+
+
 @pytest.mark.parametrize("tile", [4096, 2])
 def test_jaccard(docs, empty, tile):
     rows = [(r[0], r[1]) for r in table()]
