@@ -299,6 +299,77 @@ def test_toxicity(docs, empty, labels, spark):
     assert sum(r.is_toxic for r in got) >= 0.6 * sum(r.toxic for r in got)
 
 
+def toxic_table(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    prose, bad = [word() for _ in range(300)], ["vile", "Rotten", "BRUTE", "ghoul"]
+    rows, marks = [], []
+    for k in range(900):
+        w = [rng.choice(prose) for _ in range(rng.randint(5, 40))]
+        n = rng.choice([0, 0, 0, 0, 1, 2, 3])
+        for b in rng.sample(bad, n):
+            w.insert(rng.randint(0, len(w)), b)
+        rows.append((k, " ".join(w)))
+        marks.append((k, int(n > 0), int(n > 1), int("vile" in w)))
+    return spark.createDataFrame([*rows, (None, "vile brute"), (5000, None), (5001, "")], "doc_id long, text string").repartition(3), spark.createDataFrame(marks, "doc_id long, toxic int, many int, vile int"), rows, marks
+
+
+@pytest.mark.parametrize("categories", [(), ("many", "vile")])
+def test_toxicity_chain(spark, categories):
+    """Every link minimises the penalised loss over words and out-of-fold links; probabilities follow link by link."""
+    import math
+
+    import numpy as np
+
+    from factloom.llm import toxicity as T
+
+    docs_, labels_, rows, marks = toxic_table(spark)
+    sets, toxic, folds, named = T.labelled_words(docs_, labels_, categories=categories)
+    chain = T.fit_chain(sets, toxic, folds, named=named)
+    assert chain.categories == ((*categories, "toxic") if categories else ("explicit", "severe", "toxic"))
+    words = lambda t: set(R.re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(R.LOWER)))
+    place = {int(h): k for k, h in enumerate(chain.words)}
+    assert set(T.word_hashes(["vile", "rotten", "brute", "ghoul"]).tolist()) <= set(place)
+    names = sorted(set().union(*(words(t) for _, t in rows)) | {"vile"})
+    column = {w: place[int(h)] for w, h in zip(names, T.word_hashes(names)) if int(h) in place}
+    links = len(chain.weights)
+
+    def plain(text):
+        on, p = {column[w] for w in words(text) if w in column}, []
+        for weights in chain.weights:
+            total = sum(weights[k] for k in on) + weights[-1] + sum(w * q for w, q in zip(weights[len(place) :], p))
+            p.append(1 / (1 + math.exp(-total)))
+        return p
+
+    for r in toxicity(docs_, labels_, categories).collect():
+        text = {**dict(rows), None: "vile brute"}.get(r.doc_id)
+        p = plain(text)
+        assert all(abs(x - y) < 2e-6 for x, y in zip(list(r)[1 : 1 + links], p)) and r.is_toxic == (p[-1] >= chain.threshold)
+    # the loss of the first link has no slope at its weights: its inputs are the words alone
+    x = np.array([[float(k in {column[w] for w in words(t) if w in column}) for k in range(len(place))] + [1.0] for _, t in rows])
+    if categories:
+        y = np.array([m[2] for m in marks], float)
+        p = 1 / (1 + np.exp(-x @ chain.weights[0]))
+        slope = x.T @ (p - y) + np.append(np.full(len(place), 1.0), 1e-6) * chain.weights[0]
+        assert np.abs(slope).max() < 1e-3
+
+
+def test_toxicity_of_unseen_documents(spark):
+    """Of the documents that hold a telling word, nine in ten are caught on rows that the chain never saw, and clean ones stay."""
+    from factloom.llm import toxicity as T
+
+    folder = "/root/testdata/sf0.1"
+    docs_, labels_ = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    seen = "pmod(xxhash64(doc_id, 'held'), 4) <> 0"
+    chain = T.fit_chain(*T.labelled_words(docs_, labels_.filter(seen))[:3])
+    telling = r"(?i)\b(trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron)\b"
+    got = T.classify(docs_, chain).join(labels_.filter(f"not ({seen})"), "doc_id").join(docs_.selectExpr("doc_id", f"text rlike '{telling.replace(chr(92), chr(92) * 2)}' as tells"), "doc_id").collect()
+    marked = [r for r in got if r.toxic and r.tells]
+    assert len(marked) > 60 and sum(r.is_toxic for r in marked) >= 0.95 * len(marked)
+    assert sum(r.is_toxic for r in got if r.toxic) >= 0.85 * sum(r.toxic for r in got)
+    assert sum(r.is_toxic and not r.toxic for r in got) <= 0.003 * len(got)
+
+
 def test_license(docs, empty):
     got = license_scan(docs).collect()
     assert pairs((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == pairs((r[0], *R.license_base(r[1])) for r in table())
