@@ -1,5 +1,6 @@
 """Operators against plain versions, on a table of awkward rows."""
 
+import functools
 import hashlib
 import os
 import random
@@ -428,6 +429,50 @@ def test_language(docs, empty, spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
 
 
+def test_language_kernel():
+    """Scores are those of kernel values between plain n-gram sets, with a ridge regression on the Nyström features."""
+    import numpy as np
+
+    from factloom.llm import langid
+    from factloom.llm import textbuf as tb
+
+    rng = random.Random(31)
+    alphabets = {"aa": "abcdef ", "bb": "defghi ", "cc": "ghiéü ", "dd": "klm "}
+    make = lambda lang, n: "".join(rng.choice(alphabets[lang]) for _ in range(n))
+    langs = [rng.choice(list(alphabets)) for _ in range(120)]
+    texts = [make(lang, rng.randint(5, 200)) for lang in langs]
+    asked = ["", "A", make("aa", 60), make("cc", 5000), make("bb", 70).upper(), make("dd", 200_000)]
+
+    @functools.cache
+    def grams(text):
+        raw = text.translate(R.LOWER).encode()
+        return {((int.from_bytes(raw[k : k + n], "big") + n) * 2654435761 % 2**32) >> 16 for n in range(1, 5) for k in range(len(raw) - n + 1)}
+
+    def encode(some):
+        data, bounds = tb.column_bytes(__import__("pyarrow").array(some))
+        buckets, cut = langid.presence(data, bounds)
+        return [buckets[a:b] for a, b in zip(cut[:-1], cut[1:])], buckets, cut
+
+    assert [set(s.tolist()) for s in encode(texts)[0]] == [grams(t) for t in texts]
+    model = langid.fit_language_model(encode(texts)[0], langs, 20)
+    classes = sorted(set(langs))
+    turn = {c: [k for k, x in enumerate(langs) if x == c] for c in classes}
+    chosen = [turn[c][k] for k in range(120) for c in classes if k < len(turn[c])][:20]
+    kernel = lambda x, y: len(grams(x) & grams(y)) / max(1, len(grams(x)) * len(grams(y))) ** 0.5
+    k_mm = np.array([[kernel(texts[i], texts[j]) for j in chosen] for i in chosen])
+    k_nm = np.array([[kernel(t, texts[j]) for j in chosen] for t in texts])
+    counts = np.array([len(turn[x]) for x in langs], float)
+    weight = 1 / counts
+    ridge = 1e-3 * np.sqrt(weight).mean() ** 2 * len(texts)
+    y = np.array([[1.0 if x == c else -1.0 for c in classes] for x in langs])
+    # minimise the weighted loss over coefficients of the landmarks, with their kernel norm as the penalty
+    beta = np.linalg.solve(k_nm.T @ (k_nm * weight[:, None]) + ridge * k_mm, k_nm.T @ (y * weight[:, None]))
+    want = np.array([[kernel(t, texts[j]) for j in chosen] for t in asked]) @ beta
+    got = model.scores(*encode(asked)[1:])
+    assert np.abs(got - want).max() < 1e-6
+    assert [classes[k] for k in got[2:].argmax(axis=1)] == ["aa", "cc", "bb", "dd"]
+
+
 def test_warc(spark, tmp_path):
     body = "payload " * 200
     rows = [(1, "http://a/\r\n", body), (2, None, body), (3, "http://c", body), (4, "d", None), (5, "e", ""), (6, "f", "small"), (7, "g", "small"), (8, "h", "é" * 600), (9, "i", "x" * 3_000_000), (10, "j", "\x1f\x8b\x08" * 500)]
