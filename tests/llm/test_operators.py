@@ -291,6 +291,29 @@ def test_line_dedup(docs, empty, batches, fanout):
     assert dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    """Rows without doc_id are told apart by their texts; rows that share one keep what it owns."""
+    rng = random.Random(14)
+    lines = [f"{rng.choice('abc')} line number {k} of many" for k in range(25)] + ["short", "", "  short  "]
+    rows = [(rng.choice([None, None, 1, 2, 3, 50, 51]), None if rng.random() < 0.05 else "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9)))) for _ in range(150)]
+    got = dedup_lines(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, Sub int, key int").repartition(5))
+    assert got.columns == ["doc_id", "text", "Sub", "key", "n_lines", "n_dropped"]
+    assert pairs((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()) == pairs((i, *w) for (i, _), w in zip(rows, R.dedup(rows)))
+
+
+def test_sorted_runs():
+    import numpy as np
+
+    from factloom.llm.line_dedup import in_run
+
+    rng = np.random.default_rng(3)
+    run = np.unique(rng.integers(-4, 4, (60, 2)), axis=0)
+    asked = rng.integers(-5, 6, (300, 2))
+    held = set(map(tuple, run.tolist()))
+    assert in_run(*asked.T, *run.T).tolist() == [tuple(k) in held for k in asked.tolist()]
+    assert not in_run(*asked.T, *run[:0].T).any()
+
+
 def test_toxicity(docs, empty, labels, spark):
     assert toxicity(docs, labels).count() == len(table())
     assert toxicity(empty, labels).count() == 0
