@@ -247,15 +247,16 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
     sub = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
     lines = materialize(arrow_map(docs.select(id_.alias("id"), sub.alias("sub"), "text"), _keys, "h1 long, h2 long, id long, sub long"), "lines")
     shares = [k / batches for k in range(1, batches)]
-    cuts = sorted(set(lines.approxQuantile("id", shares, 0.001) or [])) if shares else []
+    found = lines.filter(F.col("id") < LAST).approxQuantile("id", shares, 0.001) if shares else []
+    cuts = sorted({min(int(c), LAST - 1) for c in found})
     runs, lost = Runs(spark, fanout), []
     steps = list(zip([None, *cuts], [*cuts, None]))
     for k, (low, high) in enumerate(steps):
         mine = lines
         if low is not None:
-            mine = mine.filter(F.col("id") > int(low))
+            mine = mine.filter(F.col("id") > low)
         if high is not None:
-            mine = mine.filter(F.col("id") <= int(high))
+            mine = mine.filter(F.col("id") <= high)
         lost.append(lost_lines(mine, runs, k == len(steps) - 1))
     every = lost[0]
     for part in lost[1:]:
