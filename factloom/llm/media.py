@@ -117,10 +117,14 @@ def parse(raw: bytes) -> Image:
                 tables[body[0]] = bytes(body[1 : 17 + n])
                 body = body[17 + n :]
         elif marker == 0xC0 or marker == 0xC1:
+            if len(body) < 6 or len(body) < 6 + 3 * body[5] or not body[5]:
+                raise MediaError("cut frame header")
             if body[0] != 8:
                 raise MediaError("only 8-bit samples")
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             image.components = [Component(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+            if not image.width or not image.height or not all(1 <= c.h <= 4 and 1 <= c.v <= 4 for c in image.components):
+                raise MediaError("no such size or sampling")
             high, wide = max(c.v for c in image.components), max(c.h for c in image.components)
             for c in image.components:
                 c.blocks_w, c.blocks_h = -(-image.width // (8 * wide)) * c.h, -(-image.height // (8 * high)) * c.v
@@ -146,6 +150,9 @@ def parse(raw: bytes) -> Image:
             at += int(ends[0])
     if not image.scans:
         raise MediaError("no scan")
+    # a block takes two bits at least, so memory stays within a fixed multiple of the file's bytes
+    if sum(c.blocks_w * c.blocks_h for c in image.components) > 4 * sum(len(coded) + 64 for *_, coded in image.scans):
+        raise MediaError("scan data end too early")
     return image
 
 
@@ -378,6 +385,7 @@ def encode_payload(payloads: list[bytes], sizes: list[int]) -> list[bytes]:
         down = -(-units // across)
         cells = np.zeros(across * down * UNIT, np.uint8)
         cells[: len(payload)] = np.frombuffer(payload, np.uint8)
+        cells[::UNIT] = cells.reshape(-1, UNIT).sum(axis=1, dtype=np.uint8)
         # ten bits each, 0 1 bbbbbbbb; four of them make five bytes
         v = cells.reshape(-1, 4).astype(np.uint16) | 0x100
         packed = np.empty((len(v), 5), np.uint8)
@@ -414,8 +422,9 @@ def decode_payload(image: Image) -> tuple[bytes, int]:
     """The bytes that ``encode_payload`` stored, and their unpadded size; ``image`` must be decoded."""
     size = int(image.comment.partition(b"=")[2])
     length = max(UNIT, -(-size // UNIT) * UNIT)
-    cells = np.stack([image.blocks[c.ident] for c in image.components], axis=1).reshape(-1) - 256
-    return cells[:length].astype(np.uint8).tobytes(), size
+    cells = (np.stack([image.blocks[c.ident] for c in image.components], axis=1).reshape(-1) - 256)[:length].astype(np.uint8)
+    cells[::UNIT] -= cells.reshape(-1, UNIT)[:, 1:].sum(axis=1, dtype=np.uint8)
+    return cells.tobytes(), size
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
@@ -443,7 +452,8 @@ def text_media(docs: DataFrame) -> DataFrame:
     """Store each text as a JPEG, read it back and describe it; one row per input row.
 
     A null text counts as empty; an empty one is a single unit of spaces.  Equal texts give equal files.
-    ``feature`` is ``WxH:`` and the hash of the DC-only luminance thumbnail.  Rows may repeat, ids may be
+    ``feature`` is ``WxH:`` and the hash of the DC-only luminance thumbnail; a picture of one unit has no contrast
+    and the hash 0.  Rows may repeat, ids may be
     null, other columns are ignored, and an empty table gives an empty result.
     """
     from factloom.llm.common import arrow_map
@@ -466,7 +476,7 @@ def image_features(images: DataFrame, content: str = "content") -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_features(x) for x in batch.column(batch.schema.get_field_index(content)).to_pylist()]
+            rows = _features([None if x is None else bytes(x) for x in batch.column(batch.schema.get_field_index(content)).to_pylist()])
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
@@ -474,13 +484,42 @@ def image_features(images: DataFrame, content: str = "content") -> DataFrame:
     return kept.mapInArrow(each, schema)
 
 
-def _features(raw: bytes | None) -> tuple:
-    if raw is None:
-        return None, None, None, None, None, "no content"
+#: Bytes of files that are decoded together.
+TOGETHER = 4 << 20
+_FAULTS = (MediaError, ArithmeticError, LookupError, MemoryError, StopIteration, ValueError)
+
+
+def _features(files: list[bytes | None]) -> list[tuple]:
+    """Features of each file; files share the lockstep, and only if one of them is at fault each goes alone."""
+    out: list[tuple] = [(None,) * 5 + ("no content",)] * len(files)
+    group: list[tuple[int, Image]] = []
+    size = 0
+    for k, raw in enumerate(files):
+        if raw is None:
+            continue
+        try:
+            group.append((k, parse(raw)))
+            size += len(raw)
+        except _FAULTS as e:
+            out[k] = (None,) * 5 + (str(e) or type(e).__name__,)
+        if size > TOGETHER:
+            _describe(group, out)
+            group, size = [], 0
+    _describe(group, out)
+    return out
+
+
+def _describe(group: list[tuple[int, Image]], out: list[tuple]) -> None:
     try:
-        image = parse(bytes(raw))
-        decode([image])
-        picture = thumbnail(image)
-    except (MediaError, IndexError, KeyError, StopIteration, ValueError) as e:
-        return None, None, None, None, None, str(e) or type(e).__name__
-    return image.width, image.height, len(image.components), picture.tobytes(), thumbnail_hash(picture), None
+        decode([image for _, image in group])
+        for k, image in group:
+            picture = thumbnail(image)
+            out[k] = (image.width, image.height, len(image.components), picture.tobytes(), thumbnail_hash(picture), None)
+    except _FAULTS as e:
+        if len(group) > 1:
+            for one in group:
+                _describe([one], out)
+        else:
+            out[group[0][0]] = (None,) * 5 + (str(e) or type(e).__name__,)
+    for _, image in group:
+        image.blocks = {}

@@ -132,3 +132,49 @@ def test_features_of_unreadable_files(spark):
 def test_broken_scan():
     with pytest.raises(MediaError):
         parse(b"\xff\xd8\xff\xda")
+
+
+def test_image_features_survive_any_file(spark):
+    """Broken, hostile and sound files in one batch: every row stays, the sound ones have their features."""
+    rng = np.random.default_rng(7)
+    good = encode_payload([rng.bytes(192 * n) for n in (1, 3, 40)], [192, 500, 7000])
+    frame = lambda raw, body: raw[: raw.index(b"\xff\xc0") + 4] + body + raw[raw.index(b"\xff\xc0") + 4 + len(body) :]
+    hostile = [
+        frame(good[0], b"\x08\x00\x08\x00\x08\x03\x01\x00"),  # no sampling
+        frame(good[0], b"\x08\xff\xff\xff\xff"),  # 65535 x 65535
+        frame(good[1], b"\x08\x00\x00"),  # no height
+        frame(good[1], b"\x08\x00\x08\x00\x08\x00"),  # no component
+        frame(good[2], b"\x08\x00\x08\x00\x08\x03\x01\x99"),  # sampling of nine
+        good[2][:400], b"", b"\xff\xd8", b"\xff\xd8\xff\xd9", good[1].replace(b"\xff\xc4", b"\xff\xe4", 1), good[0][:-2],
+    ]
+    for _ in range(150):
+        raw = bytearray(good[rng.integers(3)])
+        for at in rng.integers(2, len(raw), 3):
+            raw[at] = rng.integers(256)
+        hostile.append(bytes(raw))
+    rows = [(k, raw) for k, raw in enumerate([*good, None, *hostile])]
+    got = {r.id: r for r in image_features(spark.createDataFrame(rows, "id int, content binary").repartition(2)).collect()}
+    assert len(got) == len(rows)
+    for k, raw in enumerate(good):
+        image = parse(raw)
+        decode([image])
+        assert got[k].error is None and got[k].thumbnail == thumbnail(image).tobytes() and got[k].width == image.width
+    assert got[3].error == "no content" and all(got[k].error for k in range(4, 15))
+
+
+def test_thumbnails_see_every_byte():
+    """One changed byte anywhere changes the picture of its unit, and payloads come back."""
+    from factloom.llm.media import decode_payload
+
+    rng = np.random.default_rng(8)
+    base = bytearray(rng.bytes(192 * 6))
+    payloads = [bytes(base)]
+    for at in range(0, 192 * 6, 37):
+        other = bytearray(base)
+        other[at] ^= 64
+        payloads.append(bytes(other))
+    images = [parse(x) for x in encode_payload(payloads, [192 * 6] * len(payloads))]
+    decode(images)
+    assert [decode_payload(i)[0] for i in images] == payloads
+    pictures = [thumbnail(i).tobytes() for i in images]
+    assert all(p != pictures[0] for p in pictures[1:])
