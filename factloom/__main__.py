@@ -18,6 +18,7 @@ def main(arguments: list[str] | None = None) -> int:
     check.add_argument("--progress", choices=("auto", "always", "never"), default="auto")
     check.add_argument("--settings")
     check.add_argument("--profile")
+    check.add_argument("--tables", help="write every relation as JSON lines below this folder, by the executors")
     check.add_argument("--report", help="write a compact Markdown report here")
     check.add_argument("--full-report", help="write a Markdown report with all inventories here")
     try:
@@ -42,6 +43,8 @@ def main(arguments: list[str] | None = None) -> int:
         render.write_json(report, sys.stdout)
     else:
         render.write_text(report, sys.stdout, settings, options.color)
+    if options.tables:
+        render.write_json_tables(report, options.tables)
     for path, full in ((options.report, False), (options.full_report, True)):
         if path:
             with open(path, "w", encoding="utf-8") as out:

@@ -76,5 +76,5 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
                     kinds, numbers, bodies = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(numbers, pa.int64()), pa.array(bodies)], ["fact", "ord", "body"])
 
-    table = written(files.select("path", "language", "text").mapInArrow(run, "fact string, ord long, body string"), "facts")
+    table = written(files.select("path", "language", "text").mapInArrow(run, "fact string, ord long, body string"), "facts", "fact")
     return {kind: table.filter(F.col("fact") == kind).select(F.from_json("body", schema).alias("_row"), "ord").select("_row.*", *([] if "ord long" in schema else ["ord"])) for kind, schema in SCHEMAS.items()}

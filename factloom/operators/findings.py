@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.scalars import RESPONSES, response_rank
+from factloom.functions.scalars import RESPONSES, meets_threshold, response_rank
 
 #: Canonical order of findings.
 ORDER = ("path", "line", "column", "rule_id")
@@ -106,7 +106,7 @@ def severity_matrix(found: DataFrame) -> DataFrame:
 def exit_code(found: DataFrame, engines: DataFrame, threshold: str) -> DataFrame:
     """2 if an engine failed or is incomplete, else 1 if a visible finding reaches the threshold, else 0."""
     broken = engines.agg(F.coalesce(F.max(F.col("status").isin("failed", "incomplete").cast("int")), F.lit(0)).alias("broken"))
-    reached = found.agg(F.coalesce(F.max((response_rank(F.col("response")) >= response_rank(F.lit(threshold))).cast("int")), F.lit(0)).alias("reached"))
+    reached = found.agg(F.coalesce(F.max(meets_threshold(F.col("response"), F.lit(threshold)).cast("int")), F.lit(0)).alias("reached"))
     # two single rows
     return broken.join(reached, F.lit(True)).select(F.when(F.col("broken") == 1, 2).otherwise(F.col("reached")).alias("exit_code"))
 

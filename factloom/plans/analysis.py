@@ -133,7 +133,7 @@ def check(spark: SparkSession, root: str, settings: Settings | None = None, exte
     unused = J.unused_imports(facts["imports"], facts["references"])
     found.append(_at(unused, F.concat(F.upper("language"), F.lit("-UNUSED-IMPORT")), F.concat(F.lit("Imported binding `"), F.col("name"), F.lit("` is not referenced in this file.")), "unused-imports", subject=F.col("name"), certainty=F.lit("definite")))
 
-    frames["interop_pairs"] = J.pair_signatures(facts["interop"].withColumn("ord", F.xxhash64("path", "line", "column")))
+    frames["interop_pairs"] = J.pair_signatures(facts["interop"].withColumn("ord", F.struct("path", "line", "column")))
     edges = facts["dependencies"].withColumnRenamed("path", "source_path").withColumns({"target_path": F.lit(None).cast("string"), "resolution": F.lit("unresolved"), "edge": F.concat_ws(":", "source_path", "line", "column", "target")})
     julia = J.resolve_julia(edges.filter("language = 'julia'"), facts["modules"], "edge")
     odin = J.resolve_odin(edges.filter("language = 'odin'"), files)
@@ -209,6 +209,7 @@ def check(spark: SparkSession, root: str, settings: Settings | None = None, exte
     inventory = J.file_inventory(counted, facts["functions"], facts["structs"], facts["syntax"])
     frames["files"] = inventory
     frames["statistics"] = A.code_statistics(inventory, facts["functions"])
+    frames["languages"] = A.files_by_language(inventory, ("odin", "julia", "markdown"))
     frames.update({k: facts[k] for k in ("functions", "declarations", "imports", "references", "interop")}, calls=calls)
     if s.coverage.enabled:
         frames["test_coverage"] = coverage(spark, root, facts, calls, roots, s)
@@ -222,13 +223,12 @@ def check(spark: SparkSession, root: str, settings: Settings | None = None, exte
             if r.diagnostics is not None and r.status != "failed":
                 every = every.unionByName(D.remap(r.diagnostics.select(*every.columns), rules))
     report.extensions = results
-    for e in extensions:
-        mine = [r.status for r in results if r.extension_id == e.extension_id]
-        engines.append((e.extension_id, next((x for x in ("failed", "incomplete") if x in mine), "complete" if mine else "not-applicable")))
     every = written(every, "all")
     visible, ignored = D.split_ignored(every)
     frames["diagnostics"], frames["ignored"], frames["ignored_findings"] = visible, ignored, every.filter("response = 'Ignore'")
-    frames["engines"] = _table(spark, engines, "name string, status string")
+    statuses = [(name, status, None, 0) for name, status in engines] + [(e.extension_id, "not-applicable", None, 0) for e in extensions if all(r.extension_id != e.extension_id for r in results)]
+    statuses += [(r.extension_id, r.status, r.message, k) for k, r in enumerate(results)]
+    frames["engines"] = D.engine_statuses(_table(spark, statuses, "name string, status string, message string, ord int"))
     frames["rules"] = D.rule_summary(rules, visible, ignored, files, frames["engines"])
     report.exit_code = int(D.exit_code(visible, frames["engines"], s.threshold).first()[0])
     return report

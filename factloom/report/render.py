@@ -93,7 +93,7 @@ def write_text(report: Report, out: TextIO, settings: Settings, color: str = "au
     out.write(f"  Reviewed {reviewed[0]} findings by {reviewed[1]} policies\n\nexit {report.exit_code}\n")
 
 
-def _rows(out: TextIO, title: str, frame: DataFrame, columns: list[str], order: list[str] | None = None, limit: int | None = None) -> None:
+def _rows(out: TextIO, title: str, frame: DataFrame, columns: list[str], order: list | None = None, limit: int | None = None) -> None:
     out.write(f"\n## {title}\n\n| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n")
     text = lambda c: F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ", ") if frame.schema[c].dataType.typeName() == "array" else F.to_json(c) if frame.schema[c].dataType.typeName() == "struct" else F.col(c)
     ranked = frame.orderBy(*(order or columns[:1]))
@@ -133,24 +133,26 @@ def write_markdown(report: Report, out: TextIO, settings: Settings, full: bool =
         out.write(f"- Functions {r['status']}: {r['n']}\n")
     for r in D.severity_matrix(found).collect():
         out.write(f"- {r['response']}: {r['findings']}\n")
-    out.write(f"- Ignored: {frames['ignored'].agg(F.sum('ignored')).first()[0] or 0}\n- Exit code: {report.exit_code}\n")
+    reviewed = found.filter("reviewed_policy_id is not null").agg(F.count("*"), F.countDistinct("reviewed_policy_id")).first()
+    out.write(f"- Ignored: {frames['ignored'].agg(F.sum('ignored')).first()[0] or 0}\n- Reviewed: {reviewed[0]} findings by {reviewed[1]} policies\n- Exit code: {report.exit_code}\n")
+    _rows(out, "Languages", frames["languages"], ["language", "files"])
     rounded = frames["statistics"].withColumn("density", F.bround("density", 4))
     _rows(out, "Statistics", rounded, ["language", "files", "functions", "struct_count", "physical_lines", "blank_lines", "comment_lines", "code_lines", "complexity", "density"])
-    total = frames["statistics"].filter("language = 'total'")
+    each = frames["statistics"].filter("language in ('odin', 'julia', 'total')")
+    last = [F.col("language") == "total", F.desc("language")]
     cocomo, locomo = A.cocomo(F.col("code_lines")), A.locomo(F.col("code_lines"), F.col("complexity"))
-    _rows(out, "COCOMO", total.select("language", *(F.bround(v, 2 if k == "cost" else 3).alias(k) for k, v in cocomo.items())), ["language", *cocomo])
-    _rows(out, "LOCOMO", total.select("language", *(F.bround(v, 2 if k == "cost" else 3).alias(k) for k, v in locomo.items())), ["language", *locomo])
-    _rows(out, "Engines", frames["engines"], ["name", "status"])
+    _rows(out, "COCOMO", each.select("language", *(F.bround(v, 2 if k == "cost" else 3).alias(k) for k, v in cocomo.items())), ["language", *cocomo], last)
+    _rows(out, "LOCOMO", each.select("language", *(F.bround(v, 2 if k == "cost" else 3).alias(k) for k, v in locomo.items())), ["language", *locomo], last)
+    _rows(out, "Engines", frames["engines"], ["name", "status", "message"])
     _rows(out, "Rules", frames["rules"], ["rule_id", "response", "status", "files_checked", "findings"])
     _rows(out, "Ignored rules", frames["ignored"], ["rule_id", "ignored"])
     _rows(out, "Files", file_severities(frames["files"], found), ["path", "language", "source_lines", "function_count", "struct_count", *STYLES])
     _rows(out, "Functions", functions, ["path", "start_line", "name", "executable_lines", "parameter_count", "cyclomatic", "cognitive", "status"], ["path", "start_line", "name"])
-    measured = found.withColumn("measurement", S.measurement(F.col("measured"), F.col("allowed")))
-    _rows(out, "Findings by file", measured, ["path", "line", "column", "rule_id", "response", "message", "measurement"], list(D.ORDER))
+    _findings(out, found)
     ledger = found.unionByName(frames["ignored_findings"]).filter(D.is_allocation(F.col("rule_id")))
     _rows(out, "Allocations", ledger, ["path", "line", "rule_id", "procedure", "operation", "allocation_target", "allocator_source", "certainty"], list(D.ORDER))
     sections = [
-        ("Coverage gaps", "coverage_gaps", ["language", "path", "name", "evidence_class", "risk_score"]),
+        ("Coverage gaps", "coverage_gaps", ["language", "path", "name", "evidence_class", "risk_score"], [F.desc("risk_score"), *_evidence()]),
         ("Coverage", "coverage_counts", ["language", "declarations", "corroborated", "uncovered", "gaps"]),
         ("Security paths", "security_paths", ["source_path", "declaration", "source_id", "source_line", "sink_id", "sink_line", "sanitizers", "explanation"]),
         ("Resource lifetimes", "resource_lifetimes", ["path", "line", "procedure", "operation", "contract_id", "ownership", "lifetime", "status", "explanation"]),
@@ -164,13 +166,31 @@ def write_markdown(report: Report, out: TextIO, settings: Settings, full: bool =
             ("Imports", "imports", ["path", "line", "target", "name", "kind"]),
             ("References", "references", ["path", "line", "name", "scope"]),
             ("Calls", "calls", ["source_path", "line", "caller", "callee", "kind"]),
-            ("Call roots", "call_roots", ["id", "path", "language", "declaration", "category"]),
+            ("Call roots", "call_roots", ["id", "path", "language", "declaration", "category"], ["language", "path", "declaration", "category", "id"]),
             ("Signatures", "interop", ["path", "symbol", "direction", "library", "calling_convention", "parameter_types", "return_types"]),
-            ("Test coverage", "test_coverage", ["path", "name", "start_line", "static_reachable", "runtime_covered", "evidence_class", "risk_score", "explanation"]),
+            ("Test coverage", "test_coverage", ["path", "name", "start_line", "static_reachable", "runtime_covered", "evidence_class", "risk_score", "explanation"], _evidence()),
         ]
-    for title, name, columns in sections:
+    for title, name, columns, *order in sections:
         if name in frames:
-            _rows(out, title, frames[name], columns)
+            _rows(out, title, frames[name], columns, order[0] if order else columns)
+
+
+def _evidence() -> list:
+    """Order of evidence; lines order as text."""
+    return ["language", "path", "name", F.col("start_line").cast("string")]
+
+
+def _findings(out: TextIO, found: DataFrame) -> None:
+    """Findings under a heading for each path."""
+    out.write("\n## Findings by file\n")
+    measured = found.withColumn("measurement", S.measurement(F.col("measured"), F.col("allowed"))).orderBy("path", *D.ORDER)
+    columns = ["line", "column", "rule_id", "response", "message", "measurement"]
+    path = None
+    for r in measured.select("path", S.markdown_heading(F.col("path")).alias("_heading"), *(S.markdown_cell(F.col(c)).alias(c) for c in columns)).toLocalIterator():
+        if path != r["path"]:
+            path = r["path"]
+            out.write(f"\n### {r['_heading']}\n\n| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n")
+        out.write("| " + " | ".join(r[c] for c in columns) + " |\n")
 
 
 def progress(mode: str):
