@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import textbuf as tb
-from factloom.llm.common import arrow_map, attach, binary, discard, filesystem, longs, materialize, partitions, release, scratch_path
+from factloom.llm.common import arrow_map, attach, binary, discard, filesystem, longs, materialize, partitions, release, scratch_path, trim
 from factloom.llm.components import components
 from factloom.llm.sift import without_keys
 
@@ -127,6 +127,7 @@ def _send(width: int, buckets: int):
             for part, data, bounds in tb.slices(batch, "text", SLICE):
                 yield _send_slice(part, data, bounds, number, width, buckets)
                 number += 1
+                trim()
 
     return run
 
@@ -259,6 +260,7 @@ def _count(key: tuple, group: pa.Table) -> pa.Table:
         owned = local[k][owns[at[k] : at[k + 1]]]
         if len(owner) or len(owned):
             rows.append((bucket, number, _pack_owners(owner, int(owner.max(initial=-1)) + 1), owned.tobytes(), b"", b""))
+    trim()
     return pa.table(*_sent(rows))
 
 
@@ -304,6 +306,7 @@ def _answer(key: tuple, sent: pa.Table, answers: pa.Table) -> pa.Table:
                 keep = repeated[np.unpackbits(np.frombuffer(chosen[number], np.uint8), count=len(repeated)).view(bool)]
                 owner = _unpack_owners(packed)[keep]
                 rows.append((bucket, number, _pack_owners(owner, int(owner.max(initial=-1)) + 1), _pack48(parts[k][keep]), codes[k][keep].tobytes(), b""))
+    trim()
     return pa.table(*_sent(rows))
 
 

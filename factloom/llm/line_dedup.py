@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import textbuf as tb
-from factloom.llm.common import arrow_map, attach, filesystem, longs, materialize, partitions, release, scratch_path
-from factloom.llm.sift import split
+from factloom.llm.common import arrow_map, attach, filesystem, longs, materialize, partitions, release, scratch_path, trim
+from factloom.llm.sift import Sieve
 
 #: Runs of one level that are merged into a run of the next.
 FANOUT = 3
@@ -265,14 +265,21 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
     gone = materialize(every.groupBy(F.col("id").alias(key), F.col("sub").alias(key2)).agg(F.collect_set(F.struct("h1", "h2")).alias(name)), "lost")
     release(spark)
     keyed = docs.withColumns({key: id_, key2: sub})
-    hit, clear = split(keyed, gone, key)
-    joined = hit.join(gone, [key, key2], "left").select(*docs.columns, name)
+    sieve = Sieve(gone, key)
+    joined = keyed.filter(sieve.column()).join(gone, [key, key2], "left").select(*docs.columns, name)
     text = next(f for f in docs.schema if f.name == "text")
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at, counts = docs.columns.index(text.name), ("n_lines", "n_dropped")
     fewer = joined.mapInArrow(_each(_drop(at, len(docs.columns), counts)), schema)
-    return clear.select(*docs.columns).mapInArrow(_each(_drop(at, None, counts)), schema).unionByName(fewer)
+    place, whole = len(docs.columns), _drop(at, None, counts)
+
+    def clear(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        # the rows that cross no shuffle are told apart here, in one Python step
+        some = batch.filter(pa.array(~sieve.maybe(batch.column(place).to_numpy())))
+        yield from whole(some.drop_columns([batch.schema.names[place]]))
+
+    return docs.withColumn(key, F.xxhash64(id_)).mapInArrow(_each(clear), schema).unionByName(fewer)
 
 
 def _each(of_batch):
@@ -280,6 +287,7 @@ def _each(of_batch):
         for batch in batches:
             if batch.num_rows:
                 yield from of_batch(batch)
+        trim()
 
     return run
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most bits of the filter (8 MB); beyond it only more rows take the exact way.
@@ -24,23 +24,37 @@ def _bloom(keys: DataFrame, key: str) -> np.ndarray:
     return out
 
 
-def split(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key may be in the table ``keys`` of distinct keys, and rows whose key is not, those with a null key among them.
+class Sieve:
+    """Tells by the hash of a key whether the table ``keys`` of distinct keys may hold it: a Bloom filter of bounded size."""
 
-    A Bloom filter of bounded size decides; a fuller filter only makes the first part larger.
-    """
-    words = _bloom(keys, key)
-    bits = len(words) * 64
+    def __init__(self, keys: DataFrame, key: str) -> None:
+        self.words, self.key = _bloom(keys, key), key
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        hashes = h.to_numpy(np.int64)
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        """For ``xxhash64`` of keys; false only for keys that are not in the table."""
+        words, bits = self.words, len(self.words) * 64
         out = np.ones(len(hashes), bool)
         for place in (hashes & (bits - 1), (hashes >> 32) & (bits - 1)):
             out &= (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-        return pd.Series(out)
+        return out
+
+    def column(self) -> Column:
+        """The same as a column of a table that has the key."""
+        maybe = self.maybe
+
+        @F.pandas_udf("boolean")
+        def of(h: pd.Series) -> pd.Series:
+            return pd.Series(maybe(h.to_numpy(np.int64)))
+
+        return of(F.xxhash64(self.key))
 
-    hit = maybe(F.xxhash64(key))
+
+def split(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be in the table ``keys`` of distinct keys, and rows whose key is not, those with a null key among them.
+
+    A fuller filter only makes the first part larger.
+    """
+    hit = Sieve(keys, key).column()
     return rows.filter(hit), rows.filter(~hit | F.col(key).isNull())
 
 
